@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import merkle
+from loomgraph.llm import merkle, near_copies
 from loomgraph.runtime import table
 
 
@@ -16,6 +16,10 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return merkle.copy_counts(table(spark, d, "captures"), table(spark, d, "nodes"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_copies.near_copies(near_copies.graph_texts(table(spark, d, "captures"), table(spark, d, "nodes")))
+
+
+QUERIES = {"p6_found": p6_found, "p2_found": p2_found, "p2_counts": p2_counts}
 
 SQL: dict[str, str] = {}
