@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import merkle, near_copies
+from loomgraph.llm import byte_bpe, leakage, merkle, near_copies
 from loomgraph.runtime import table
 
+#: Edits that p9_passages grants to either side of an exact run.
+EDITS = 2
+
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return merkle.found(table(spark, d, "captures"), table(spark, d, "nodes"))
@@ -20,6 +23,23 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near_copies.near_copies(near_copies.graph_texts(table(spark, d, "captures"), table(spark, d, "nodes")))
 
 
-QUERIES = {"p6_found": p6_found, "p2_found": p2_found, "p2_counts": p2_counts}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return byte_bpe.encode_corpus(table(spark, d, "documents"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return byte_bpe.token_report(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id", "item_id").distinct()
+
+
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The leaked regions with up to EDITS edits beyond the exact run."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), edits=EDITS)
+
+
+QUERIES = {"p8_ids": p8_ids, "p8_report": p8_report, "p9_found": p9_found, "p9_passages": p9_passages, "p6_found": p6_found, "p2_found": p2_found, "p2_counts": p2_counts}
 
 SQL: dict[str, str] = {}
