@@ -7,9 +7,10 @@ detected in the plain form; their spans are mapped back, so the placeholder repl
 the rest of the text stays as it was.
 
 Names: a family name counts with a given name, an initial or an honorific before it, or a given name after a comma. What
-is a given name and what looks like a family name is learned from all PERSON nodes: given names stated twice or more, and
-the first four and last three letters of family names that two or more of them share. Four letters of an alphabet bound
-the second; the first is bounded by ``GIVEN_LIMIT``, the most frequent ones.
+is a given name and what looks like a family name is learned from all PERSON nodes: given names (of titles and
+aliases) stated twice or more, and the first and last three and four letters of family names that two or more of them
+(and one in ``RARE``) share: four at one end and three at the other mark a family name. Four letters of an alphabet bound the second; the
+first is bounded by ``GIVEN_LIMIT``, the most frequent ones.
 
 Scale: one linear pass, no shuffle of texts; the lexicon is a small aggregate that is broadcast with its bound.
 
@@ -29,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.nicknames import SHORT_FORMS
 from loomgraph.runtime import ship_package
 
 KINDS = ("EMAIL", "ID_NUMBER", "PHONE", "ADDRESS", "NAME")
-GIVEN_LIMIT, PREFIX, SUFFIX = 100_000, 4, 3
+GIVEN_LIMIT, LONG, SHORT, RARE = 100_000, 4, 3, 1000
 # Titles before a family name, and letters of other alphabets that look like Latin ones.
 HONORIFICS = frozenset("mr mrs ms miss mx dr prof professor sir dame herr frau mme mlle monsieur madame señor señora senor senora sr sra don doña".split())
 HOMOGLYPHS = dict(zip("аеорсухіјѕһԁӏАВЕКМНОРСТУХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανρι", "aeopcyxijshdlABEKMHOPCTYXIJSABEZHIKMNOPTYXoavpi", strict=True))
@@ -44,6 +46,8 @@ _SPELLED = re.compile(rf"\b(?:{_DIGIT_WORD})(?:[\s,-]+(?:{_DIGIT_WORD}))+\b", re
 _DISGUISE = re.compile(r"(?i)\s*[\[({<]\s*at\s*[\])}>]\s*|\s*[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*|(?<=[a-z0-9])\s+at\s+(?=[a-z0-9-]+(?:\s+dot\s+[a-z0-9-]+)+\b)|(?<=[a-z0-9])\s+(?:dot|punkt)\s+(?=[a-z0-9])")
 _MAYBE = re.compile(r"(?i)\bat\b.{0,80}\b(?:dot|punkt|point|punto)\b|[\[({<]\s*at\s*[\])}>]")
 
+_ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|(.))")
+_ESCAPED = {"n": "\n", "t": "\t", "r": "\r", "b": " ", "f": " "}
 _EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]*\w[\w+-]*@(?:[\w-]+\.)+[A-Za-z]{2,}(?![\w-])")
 _ID = re.compile(
     r"(?i)\b(?:ssn|social(?:\s+security)?(?:\s+(?:number|no\.?))?|sin)\b[\s:#]*\d{3}[-\s]?\d{2,3}[-\s]?\d{3,4}\b"
@@ -76,12 +80,16 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
 class Lexicon(NamedTuple):
+    """Given names; beginnings and ends of family names, of LONG and SHORT letters."""
+
     given: frozenset[str]
     prefixes: frozenset[str]
     suffixes: frozenset[str]
 
     def family(self, word: str) -> bool:
-        return len(word) >= PREFIX + 1 and word[:PREFIX] in self.prefixes and word[-SUFFIX:] in self.suffixes
+        if len(word) <= LONG:
+            return False
+        return (word[:LONG] in self.prefixes and word[-SHORT:] in self.suffixes) or (word[:SHORT] in self.prefixes and word[-LONG:] in self.suffixes)
 
 
 def fold(word: str) -> str:
@@ -92,9 +100,19 @@ def fold(word: str) -> str:
 def plain(text: str) -> tuple[str, list[int] | None]:
     """The plain form, and for each of its characters (and the end) the position in ``text``; None where both agree."""
     out, at = text, None
-    if not text.isascii():
-        chars, at = [], []
-        for i, c in enumerate(text):
+    if "\\" in text and text.lstrip("\ufeff \n\r\t").startswith("{"):
+        # a JSON object as it was sent: its escapes stand for characters
+        pieces, at, last = [], [], 0
+        for m in _ESCAPE.finditer(text):
+            pieces += [text[last : m.start()], chr(int(m[1], 16)) if m[1] else _ESCAPED.get(m[2], m[2])]
+            at += [*range(last, m.start()), m.start()]
+            last = m.end()
+        pieces.append(text[last:])
+        at += range(last, len(text) + 1)
+        out = "".join(pieces)
+    if not out.isascii():
+        chars, places = [], []
+        for i, c in enumerate(out):
             if c in _INVISIBLE:
                 continue
             if ord(c) > 127:
@@ -107,9 +125,9 @@ def plain(text: str) -> tuple[str, list[int] | None]:
                     if "！" <= c <= "～":
                         c = chr(ord(c) - 0xFEE0)
             chars.append(c)
-            at.append(i)
-        at.append(len(text))
-        out = "".join(chars)
+            places.append(i if at is None else at[i])
+        places.append(len(text))
+        out, at = "".join(chars), places
     for pattern, rewrite in ((_SPELLED, _digits), (_DISGUISE, _sign)):
         if pattern is _DISGUISE and not _MAYBE.search(out):
             continue
@@ -146,7 +164,7 @@ def _names(text: str, lex: Lexicon) -> list[tuple[int, int]]:
         return []
     found = []
     for k, (s, e, w) in enumerate(tokens):
-        if not lex.family(w):
+        if w in lex.given or not lex.family(w):
             continue
         start = None
         j, gap_end = k - 1, s
@@ -232,21 +250,24 @@ def contact_values(raw: str) -> list[str]:
 
 def name_lexicon(nodes: DataFrame) -> Lexicon:
     """Given names and the beginnings and ends of family names, from all PERSON nodes."""
-    title = F.trim(F.regexp_replace(F.col("title"), r"(?i)^\s*(" + "|".join(sorted(HONORIFICS)) + r")\b\.?\s*", ""))
-    parts = F.split(F.regexp_replace(title, r"\s+", " "), " ")
-    comma = F.split(title, r"\s*,\s*")
+    aliases = F.get_json_object("properties", "$.aliases")
+    listed = F.coalesce(F.from_json(aliases, "array<string>"), F.split(aliases, r"\s*;\s*"), F.array().cast("array<string>"))
+    people = nodes.where((F.col("node_type") == "PERSON") & F.col("title").isNotNull())
+    raw = people.select(F.explode(F.concat(F.array("title"), listed)).alias("name"))
+    name = F.trim(F.regexp_replace(F.col("name"), r"(?i)^\s*(" + "|".join(sorted(HONORIFICS)) + r")\b\.?\s*", ""))
+    parts = F.split(F.regexp_replace(name, r"\s+", " "), " ")
+    comma = F.split(name, r"\s*,\s*")
     turned = F.size(comma) == 2
-    names = (
-        nodes.where((F.col("node_type") == "PERSON") & F.col("title").isNotNull())
-        .select(F.when(turned, F.split(comma[1], " ")[0]).otherwise(parts[0]).alias("given"), F.when(turned, comma[0]).when(F.size(parts) >= 2, F.element_at(parts, -1)).alias("family"))
-        .where(F.col("family").isNotNull())
-        .select(F.lower(F.regexp_replace("given", r"[^\p{L}'’-]", "")).alias("given"), F.lower("family").alias("family"))
-    )
-    given = names.groupBy("given").count().where((F.col("count") >= 2) & (F.length("given") >= 2)).orderBy(F.desc("count"), "given").limit(GIVEN_LIMIT).collect()
-    families = names.where(F.length("family") > PREFIX).select("family").distinct()
-    ends = families.select(F.explode(F.array(F.struct(F.lit("p").alias("side"), F.substring("family", 1, PREFIX).alias("part")), F.struct(F.lit("s").alias("side"), F.substring("family", -SUFFIX, SUFFIX).alias("part")))).alias("x")).select("x.*").groupBy("side", "part").count().where("count >= 2").collect()
-    bare = Lexicon(frozenset(), frozenset(fold(r["part"]) for r in ends if r["side"] == "p"), frozenset(fold(r["part"]) for r in ends if r["side"] == "s"))
-    return bare._replace(given=frozenset(w for r in given if not bare.family(w := fold(r["given"]))))
+    letters = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}'’-]", ""))
+    names = raw.select(letters(F.when(turned, F.split(comma[1], " ")[0]).otherwise(parts[0])).alias("given"), letters(F.when(turned, comma[0]).when(F.size(parts) >= 2, F.element_at(parts, -1))).alias("family"))
+    both = F.array(F.struct(F.lit("given").alias("role"), F.col("given").alias("word")), F.struct(F.lit("family").alias("role"), F.col("family").alias("word")))
+    words = names.select(F.explode(both).alias("x")).select("x.*").where(F.length("word") >= 2).groupBy("word").agg(F.count_if(F.col("role") == "given").alias("n_given"), F.count_if(F.col("role") == "family").alias("n_family"))
+    given = words.where("n_given >= 2 and n_given > n_family").orderBy(F.desc("n_given"), "word").limit(GIVEN_LIMIT).collect()
+    families = words.where((F.col("n_family") > F.col("n_given")) & (F.length("word") > LONG)).select(F.col("word").alias("family"))
+    least = max(2, families.count() // RARE)
+    side = lambda s, n: F.struct(F.lit(s).alias("side"), (F.substring("family", 1, n) if s == "p" else F.substring("family", -n, n)).alias("part"))
+    ends = families.select(F.explode(F.array(*(side(s, n) for s in "ps" for n in (LONG, SHORT)))).alias("x")).select("x.*").groupBy("side", "part").count().where(F.col("count") >= least).collect()
+    return Lexicon(frozenset(fold(r["word"]) for r in given) | frozenset(SHORT_FORMS), frozenset(fold(r["part"]) for r in ends if r["side"] == "p"), frozenset(fold(r["part"]) for r in ends if r["side"] == "s"))
 
 
 def private_fields(captures: DataFrame, nodes: DataFrame) -> DataFrame:
