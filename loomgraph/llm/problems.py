@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import byte_bpe, leakage, merkle, near_copies, personal
+from loomgraph.llm import byte_bpe, leakage, merkle, name_variants, near_copies, personal
 from loomgraph.runtime import table
 
 #: Edits that p9_passages grants to either side of an exact run.
@@ -41,6 +41,10 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), edits=EDITS)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_variants.variant_pairs(table(spark, d, "nodes"))
+
+
 def _personal(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "nodes")
     return personal.find_personal(personal.private_fields(table(spark, d, "captures"), nodes), personal.name_lexicon(nodes))
@@ -54,6 +58,6 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return _personal(spark, d).select("table_name", "record_id", "field_name", "redacted")
 
 
-QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p8_report": p8_report, "p9_found": p9_found, "p9_passages": p9_passages, "p6_found": p6_found, "p2_found": p2_found, "p2_counts": p2_counts}
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p8_report": p8_report, "p9_found": p9_found, "p9_passages": p9_passages, "p6_found": p6_found, "p2_found": p2_found, "p2_counts": p2_counts}
 
 SQL: dict[str, str] = {}
