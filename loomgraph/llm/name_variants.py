@@ -64,9 +64,8 @@ def words(text: str) -> list[str]:
 def org_form(text: str) -> str:
     """Words of an organisation name without noise; the leading word is its own name."""
     t = words(text)
-    if len(t) >= 3 and "of" in t[:3] and t[0] != "the":
-        k = t.index("of")
-        t = t[k + 1 :] + t[:k]  # 'Group of X' is 'X Group'
+    if len(t) >= 3 and t[-2] == "of" and t[-1] != "studies":
+        t = t[-1:] + t[:-2]  # 'Group of X' is 'X Group'
     t = [w for w in t if w not in NOISE and len(w) > 1] or t
     return " ".join(t)
 
@@ -307,9 +306,9 @@ def variant_pairs(nodes: DataFrame) -> DataFrame:
     org_pairs = orgs.select(F.col("id").alias("id_a"), "key").join(orgs.select(F.col("id").alias("id_b"), "key"), "key").where("id_a < id_b").select("id_a", "id_b")
     people = keyed.where("node_type = 'PERSON' and size(names) > 0").select("id", "names", "emails", "domain", "orgs", "key")
     # an organisation given by its initials alone: those people also meet all whose organisation has these initials
-    initials = F.expr("aggregate(split(orgs[0], ' '), '', (x, w) -> concat(x, substring(w, 1, 1)))")
-    short = people.where("domain is null and size(orgs) > 0 and length(orgs[0]) between 2 and 5 and instr(orgs[0], ' ') = 0").select("id", F.col("orgs")[0].alias("short"))
-    spelled = people.where("size(orgs) > 0 and instr(orgs[0], ' ') > 0").select("id", initials.alias("short")).join(short.select("short").distinct(), "short", "left_semi").select("id", "short")
+    initials = F.expr("aggregate(split(get(orgs, 0), ' '), '', (x, w) -> concat(x, substring(w, 1, 1)))")
+    short = people.where("domain is null and size(orgs) > 0 and length(get(orgs, 0)) between 2 and 5 and instr(get(orgs, 0), ' ') = 0").select("id", F.get("orgs", F.lit(0)).alias("short"))
+    spelled = people.where("size(orgs) > 0 and instr(get(orgs, 0), ' ') > 0").select("id", initials.alias("short")).join(short.select("short").distinct(), "short", "left_semi").select("id", "short")
     met = people.select("id", "key").union(short.union(spelled).select("id", F.concat(F.lit("initials:"), "short")))
     people = met.join(people.drop("key"), "id")
     forms = F.flatten(F.transform("names", lambda n: F.flatten(F.transform(F.split(n, " "), lambda w: _ngrams(w, NAME_GRAM)))))
