@@ -64,7 +64,7 @@ def words(text: str) -> list[str]:
 def org_form(text: str) -> str:
     """Words of an organisation name without noise; the leading word is its own name."""
     t = words(text)
-    if len(t) >= 3 and t[-2] == "of" and t[-1] != "studies":
+    if len(t) >= 3 and t[-2] == "of" and not close(t[-1], "studies"):
         t = t[-1:] + t[:-2]  # 'Group of X' is 'X Group'
     t = [w for w in t if w not in NOISE and len(w) > 1] or t
     return " ".join(t)
