@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import byte_bpe, leakage, merkle, name_variants, near_copies, personal
+from loomgraph.llm import abuse, byte_bpe, leakage, merkle, name_variants, near_copies, personal
 from loomgraph.runtime import table
 
 #: Edits that p9_passages grants to either side of an exact run.
@@ -58,6 +58,22 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return _personal(spark, d).select("table_name", "record_id", "field_name", "redacted")
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p8_report": p8_report, "p9_found": p9_found, "p9_passages": p9_passages, "p6_found": p6_found, "p2_found": p2_found, "p2_counts": p2_counts}
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score_documents(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", F.explode("categories").alias("category")).distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", "source", "score")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(_scored(spark, d))
+
+
+QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p8_report": p8_report, "p9_found": p9_found, "p9_passages": p9_passages, "p6_found": p6_found, "p2_found": p2_found, "p2_counts": p2_counts}
 
 SQL: dict[str, str] = {}
