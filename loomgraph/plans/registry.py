@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import core_problems
+from loomgraph.plans import core_problems, graphs, relational, scoring
 
-PARTS = [core_problems]
-FLAGSHIP = "p7_found"
+PARTS = [relational, scoring, graphs, core_problems]
+FLAGSHIP = "network_health"
 
 
 def queries() -> dict:
