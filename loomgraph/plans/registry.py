@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import core_problems, graphs, knowledge, relational, scoring
+from loomgraph.plans import core_problems, graphs, knowledge, relational, scoring, streams
 
-PARTS = [relational, scoring, graphs, knowledge, core_problems]
+PARTS = [relational, scoring, graphs, knowledge, streams, core_problems]
 FLAGSHIP = "network_health"
 
 
