@@ -37,7 +37,7 @@ def read_notes(spark: SparkSession, path: str, since: str | None = None, exclude
     files = reader.load(path)
     for name in excluded:
         files = files.where(~F.col("path").contains(f"/{name}/"))
-    text = F.regexp_replace(F.decode("content", F.lit("UTF-8")), r"\r\n", "\n")
+    text = F.regexp_replace(F.decode("content", "UTF-8"), r"\r\n", "\n")
     body = F.regexp_replace(F.col("text"), r"(?s)^---\s*\n.*?\n---\s*\n", "")
     listed = F.filter(F.split(F.regexp_replace(front_matter(F.col("text"), "tags"), r"[\[\]\"']", ""), r"\s*,\s*"), lambda x: F.length(x) > 0)
     return (
@@ -81,7 +81,7 @@ def ics_time(value: Column) -> Column:
 def read_calendars(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
     """One row for each event of the .ics files below ``path``; folded lines are joined again."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.ics").load(path)
-    text = F.regexp_replace(F.regexp_replace(F.decode("content", F.lit("UTF-8")), r"\r\n", "\n"), r"\n[ \t]", "")
+    text = F.regexp_replace(F.regexp_replace(F.decode("content", "UTF-8"), r"\r\n", "\n"), r"\n[ \t]", "")
     events = files.select("path", F.explode(F.regexp_extract_all(text, F.lit(r"(?s)BEGIN:VEVENT\n(.*?)END:VEVENT"), 1)).alias("e"))
     e = F.col("e")
     rows = events.select(
