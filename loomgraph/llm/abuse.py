@@ -31,6 +31,8 @@ from loomgraph.runtime import ship_package, write_stage
 CATEGORIES = ("abuse", "hate", "sexual")
 LABEL_LIMIT, VOCABULARY, RARITY = 20_000, 60_000, 2000
 PAIR_DOCS, PAIR_ODDS, PAIR_CAP, STEP, HIT = 3, 1.5, 3.0, -0.7, 6.0
+#: The usual share of a pair is the USUAL_AT quantile; pairs below USUAL_SHARE of it are left out.
+USUAL_AT, USUAL_SHARE = 0.75, 0.25
 # Signs and digits that stand for letters.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "€": "e", "£": "l", "+": "t", "(": "c"}
 SIGN, MASK, REPEAT, TYPO, MAX_TYPOS, BEAM = 0.3, 1.0, 0.2, 5.0, 2, 60
@@ -119,12 +121,16 @@ class Channel:
             if not states:
                 return token
         best, word = None, token
-        for cost, node in states.values():
-            if "" in node:
-                w, p = node[""]
-                s = cost - 0.5 * p
-                if best is None or s < best:
-                    best, word = s, w
+        for (_, _, used), (cost, node) in states.items():
+            ends = [(cost, node)]
+            if used < typos:
+                ends += [(cost + TYPO, child) for x, child in node.items() if x]  # the last letter missing
+            for c, end in ends:
+                if "" in end:
+                    w, p = end[""]
+                    s = c - 0.5 * p
+                    if best is None or s < best:
+                        best, word = s, w
         return word
 
     def segment(self, letters: str) -> list[str]:
@@ -211,8 +217,8 @@ def pair_weights(restored: DataFrame, labels: DataFrame) -> dict[str, tuple[floa
     """pair -> (weight, index of its category).
 
     A pair of words tells toxic documents if it is much more frequent among reviewed toxic documents than among clean
-    ones, and among them than in all documents: the second count is over the whole corpus, so that a language or topic
-    with few reviewed documents can't pass for toxic.
+    ones, and if of all documents that have it the share reviewed as toxic is as usual for such pairs: the share's
+    denominator is the whole corpus, so that a language or topic with few reviewed documents can't pass for toxic.
     """
     words = F.split("tokens", " ")
     pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1))))
@@ -225,19 +231,22 @@ def pair_weights(restored: DataFrame, labels: DataFrame) -> dict[str, tuple[floa
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
-        n = 0
         for b in batches:
             for t in b.column("tokens").to_pylist():
-                n += 1
                 total.update(shared.value & neighbours(t))
-        yield pa.RecordBatch.from_arrays([pa.array(["", *total], pa.string()), pa.array([n, *total.values()], pa.int64())], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.string()), pa.array([*total.values()], pa.int64())], names=["pair", "n"])
 
     everywhere = {r["pair"]: r["n"] for r in restored.select("tokens").mapInArrow(count, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()}
-    n_docs = everywhere.get("", 0)
+    shares = sorted((r["t"] / max(everywhere.get(p, 0), 1), r["t"]) for p, r in told.items())
+    total, usual, seen = sum(t for _, t in shares), 0.0, 0
+    for usual, t in shares:
+        seen += t
+        if seen >= USUAL_AT * total:
+            break
     out = {}
     for p, r in told.items():
-        odds = math.log((r["t"] + 0.5) / (toxic + 1)) - math.log((everywhere.get(p, 0) + 0.5) / (n_docs + 1))
-        if odds >= PAIR_ODDS:
+        if r["t"] / max(everywhere.get(p, 0), 1) >= USUAL_SHARE * usual:
+            odds = math.log((r["t"] + 0.5) / (toxic + 1)) - math.log((r["c"] + 0.5) / (clean + 1))
             share = [(r[k] + 0.5) / (docs.get(k, 0) + 5) for k in CATEGORIES]
             out[p] = (min(odds, PAIR_CAP), share.index(max(share)))
     return out
