@@ -97,18 +97,19 @@ def fold(word: str) -> str:
     return word.lower() if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word.casefold()) if not unicodedata.combining(c))
 
 
-def plain(text: str) -> tuple[str, list[int] | None]:
-    """The plain form, and for each of its characters (and the end) the position in ``text``; None where both agree."""
+def plain(text: str) -> tuple[str, list[tuple[int, int]] | None]:
+    """The plain form, and for each of its characters the piece of ``text`` it stands for; None where both agree."""
     out, at = text, None
     if "\\" in text and text.lstrip("\ufeff \n\r\t").startswith("{"):
         # a JSON object as it was sent: its escapes stand for characters
         pieces, at, last = [], [], 0
         for m in _ESCAPE.finditer(text):
             pieces += [text[last : m.start()], chr(int(m[1], 16)) if m[1] else _ESCAPED.get(m[2], m[2])]
-            at += [*range(last, m.start()), m.start()]
+            at += [(i, i + 1) for i in range(last, m.start())]
+            at.append(m.span())
             last = m.end()
         pieces.append(text[last:])
-        at += range(last, len(text) + 1)
+        at += [(i, i + 1) for i in range(last, len(text))]
         out = "".join(pieces)
     if not out.isascii():
         chars, places = [], []
@@ -117,7 +118,7 @@ def plain(text: str) -> tuple[str, list[int] | None]:
                 continue
             if ord(c) > 127:
                 if c.isspace():
-                    c = "\n" if c in "  \x85" else " "
+                    c = "\n" if c in "\u2028\u2029\x85" else " "
                 elif c.isdigit():
                     c = str(unicodedata.digit(c))
                 else:
@@ -125,8 +126,7 @@ def plain(text: str) -> tuple[str, list[int] | None]:
                     if "！" <= c <= "～":
                         c = chr(ord(c) - 0xFEE0)
             chars.append(c)
-            places.append(i if at is None else at[i])
-        places.append(len(text))
+            places.append((i, i + 1) if at is None else at[i])
         out, at = "".join(chars), places
     for pattern, rewrite in ((_SPELLED, _digits), (_DISGUISE, _sign)):
         if pattern is _DISGUISE and not _MAYBE.search(out):
@@ -137,10 +137,10 @@ def plain(text: str) -> tuple[str, list[int] | None]:
             if new is None:
                 continue
             if at is None:
-                at = list(range(len(out) + 1))
+                at = [(i, i + 1) for i in range(len(out))]
             pieces += [out[last : m.start()], new]
             places += at[last : m.start()]
-            places += [at[m.start() + k * (m.end() - m.start()) // len(new)] for k in range(len(new))]
+            places += [(at[m.start()][0], at[m.end() - 1][1])] * len(new)  # the whole run stands for each new character
             last = m.end()
         if pieces:
             pieces.append(out[last:])
@@ -150,8 +150,10 @@ def plain(text: str) -> tuple[str, list[int] | None]:
 
 
 def _digits(m: re.Match) -> str | None:
+    """Six spelled digits or more as digits, ten of them grouped as a number is written."""
     words = re.findall(r"[a-z]+", m[0].lower())
-    return "".join(DIGIT_WORDS[w] for w in words) if len(words) >= 6 else None
+    d = "".join(DIGIT_WORDS[w] for w in words)
+    return None if len(d) < 6 else f"{d[:3]}-{d[3:6]}-{d[6:]}" if len(d) == 10 else d
 
 
 def _sign(m: re.Match) -> str:
@@ -218,7 +220,7 @@ def spans(text: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
         take("PHONE", [m.span() for m in _PHONE.finditer(work) if not _NOT_PHONE.search(work[max(0, m.start() - 14) : m.start()])])
     take("NAME", _names(work, lex))
     hits.sort()
-    return hits if at is None else [(at[s], at[e - 1] + 1 if e else 0, k) for s, e, k in hits]
+    return hits if at is None else [(at[s][0], at[e - 1][1], k) for s, e, k in hits if e > s]
 
 
 def redact(text: str, found: list[tuple[int, int, str]]) -> str:
