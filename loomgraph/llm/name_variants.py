@@ -10,7 +10,8 @@ average-linkage clustering of each connected group of links.
 * People. The vectors are n-grams of the name within an organisation key, so that only people of one organisation meet;
   people with one e-mail address are linked as well. A pair is confirmed if family and given names agree up to typing
   errors, short forms, abbreviations, initials and order, and their addresses don't contradict.
-* Grouping: components of the links, then average linkage within each (absent or contradicted pairs count 0).
+* Grouping: components of the links, then average linkage within each (absent or contradicted pairs count 0), where people
+  with one address are one item. Rows alike in all that is compared are one before the join, and pairs are made at the end.
 
 Cosine join: grams are ordered by weight, and a vector sends only its heaviest grams until the norm of the rest is below
 the threshold: two vectors above the threshold share a gram among those. No partner is capped.
@@ -21,10 +22,10 @@ properties that don't parse count as empty; deleted nodes are linked too; ties a
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import pandas as pd
 import pyarrow as pa
@@ -38,7 +39,6 @@ from loomgraph.operators.components import connected_components
 from loomgraph.runtime import ship_package, write_stage
 
 ORG_GRAM, NAME_GRAM, ORG_COSINE, NAME_COSINE, LINKAGE = 4, 3, 0.3, 0.3, 0.5
-FULL_COMPARE = 400
 _EMAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
 _WORD = re.compile(r"[^\W_]+")
 # Words that organisation names gain or lose.
@@ -199,57 +199,90 @@ def agree(a: tuple[list[str], list[str]], b: tuple[list[str], list[str]]) -> boo
     return any(same_name(x, y) for x in names_a for y in names_b)
 
 
-def average_linkage(n: int, near: dict[tuple[int, int], float], least: float = LINKAGE) -> list[int]:
-    """Cluster number of each of n items; ``near`` holds the similarities above 0 of pairs i < j."""
-    members = {i: [i] for i in range(n)}
-    total = dict(near)
-    while total:
-        (i, j), s = max(total.items(), key=lambda x: (x[1] / (len(members[x[0][0]]) * len(members[x[0][1]])), -x[0][0], -x[0][1]))
-        if s / (len(members[i]) * len(members[j])) < least:
+def average_linkage(n: int, near: dict[tuple[int, int], float], apart: frozenset[int] = frozenset(), least: float = LINKAGE) -> list[int]:
+    """Cluster number of each of n items; ``near`` holds the similarities above 0 of pairs i < j, all others are 0. No
+    two items of ``apart`` come into one cluster.
+
+    Merges the two clusters of the highest mean similarity until it is below ``least``; a heap with lazy deletion keeps
+    it near-linear in the pairs.
+    """
+    size, to, lone = [1] * n, list(range(n)), [i in apart for i in range(n)]
+    total: list[dict[int, float]] = [{} for _ in range(n)]
+    heap = []
+    for (i, j), s in near.items():
+        total[i][j] = total[j][i] = s
+        heap.append((-s, i, j))
+    heapq.heapify(heap)
+    while heap:
+        s, i, j = heapq.heappop(heap)
+        if j not in total[i] or -s != total[i][j] / (size[i] * size[j]):
+            continue
+        if -s < least:
             break
-        del total[i, j]
-        for k in list(members):
-            if k in (i, j):
-                continue
-            own, gone = (min(i, k), max(i, k)), (min(j, k), max(j, k))
-            if gone in total:
-                total[own] = total.get(own, 0.0) + total.pop(gone)
-        members[i] += members.pop(j)
-    out = [0] * n
-    for c, ms in members.items():
-        for m in ms:
-            out[m] = c
-    return out
+        del total[i][j], total[j][i]
+        if lone[i] and lone[j]:
+            continue
+        lone[i] = lone[i] or lone[j]
+        for k, v in total[j].items():
+            del total[k][j]
+            total[i][k] = total[k][i] = total[i].get(k, 0.0) + v
+        total[j], size[i], to[j] = {}, size[i] + size[j], i
+        for k, v in total[i].items():
+            heapq.heappush(heap, (-v / (size[i] * size[k]), min(i, k), max(i, k)))
+
+    def top(i: int) -> int:
+        while to[i] != i:
+            to[i] = to[to[i]]
+            i = to[i]
+        return i
+
+    return [top(i) for i in range(n)]
+
+
+def clusters_of(links: list[tuple[str, str, bool]], mailed: set[str]) -> list[tuple[str, str]]:
+    """(id, cluster) from the links (a, b, same address) of one component: people with one address are one item, and
+    items with addresses of their own contradict each other."""
+    ids = sorted({x for a, b, _ in links for x in (a, b)})
+    to = {i: i for i in ids}
+
+    def top(i: str) -> str:
+        while to[i] != i:
+            to[i] = to[to[i]]
+            i = to[i]
+        return i
+
+    for a, b, same in links:
+        if same:
+            x, y = sorted((top(a), top(b)))
+            to[y] = x
+    items = sorted({top(i) for i in ids})
+    at = {x: k for k, x in enumerate(items)}
+    near = {}
+    for a, b, same in links:
+        x, y = sorted((at[top(a)], at[top(b)]))
+        if not same and x != y:
+            near[x, y] = 1.0
+    c = average_linkage(len(items), near, frozenset(at[top(i)] for i in mailed))
+    return [(i, items[c[at[top(i)]]]) for i in ids]
 
 
 def _cluster(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by label: (id_a, id_b) of the people of one cluster."""
-    label, group = None, []
-
-    def pairs() -> list[tuple[str, str]]:
-        if len(group) > FULL_COMPARE:
-            # a group of one address or many alike: linked by address class, then by name within the class's order
-            classes: dict[tuple, list[str]] = {}
-            for i, names, mails in group:
-                classes.setdefault(tuple(mails) or tuple(names[:1]), []).append(i)
-            return [(min(p), max(p)) for ids in classes.values() for p in combinations(ids, 2)]
-        near = {(x, y): 1.0 for x, y in combinations(range(len(group)), 2) if agree(group[x][1:], group[y][1:])}
-        c = average_linkage(len(group), near)
-        return [tuple(sorted((group[x][0], group[y][0]))) for x, y in combinations(range(len(group)), 2) if c[x] == c[y]]
-
+    """Links sorted by the label of their component: (id, cluster) of its people."""
+    label, links, mailed = None, [], set()
     out: list[tuple[str, str]] = []
     for b in batches:
         for r in b.itertuples(index=False):
             if r.label != label:
-                out += pairs()
-                label, group = r.label, []
-            group.append((r.id, list(r.names), list(r.emails)))
-        if out:
-            yield pd.DataFrame(out, columns=["id_a", "id_b"])
+                out += clusters_of(links, mailed)
+                label, links, mailed = r.label, [], set()
+            links.append((r.a, r.b, bool(r.same)))
+            mailed.update(x for x, m in ((r.a, r.mail_a), (r.b, r.mail_b)) if m)
+        if len(out) > 5000:
+            yield pd.DataFrame(out, columns=["rep", "cluster"])
             out = []
-    out += pairs()
+    out += clusters_of(links, mailed)
     if out:
-        yield pd.DataFrame(out, columns=["id_a", "id_b"])
+        yield pd.DataFrame(out, columns=["rep", "cluster"])
 
 
 @F.pandas_udf(T.BooleanType())
@@ -305,22 +338,29 @@ def variant_pairs(nodes: DataFrame) -> DataFrame:
     orgs = keyed.where("node_type = 'ORGANIZATION'").select("id", "key")
     org_pairs = orgs.select(F.col("id").alias("id_a"), "key").join(orgs.select(F.col("id").alias("id_b"), "key"), "key").where("id_a < id_b").select("id_a", "id_b")
     people = keyed.where("node_type = 'PERSON' and size(names) > 0").select("id", "names", "emails", "domain", "orgs", "key")
+    # people alike in all that is compared are one from here on: however many copies there are, one of them is linked
+    alike_in = F.struct(F.array_sort("names").alias("names"), F.array_sort("emails").alias("emails"), "domain", "orgs", "key")
+    people = write_stage(people.withColumn("form", F.md5(F.to_json(alike_in))), "name-people").df
+    reps = people.groupBy("form").agg(F.min("id").alias("rep"))
+    member = people.select("id", "form").join(reps, "form").select("id", "rep")
+    one = people.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").drop("form")
     # an organisation given by its initials alone: those people also meet all whose organisation has these initials
     initials = F.expr("aggregate(split(get(orgs, 0), ' '), '', (x, w) -> concat(x, substring(w, 1, 1)))")
-    short = people.where("domain is null and size(orgs) > 0 and length(get(orgs, 0)) between 2 and 5 and instr(get(orgs, 0), ' ') = 0").select("id", F.get("orgs", F.lit(0)).alias("short"))
-    spelled = people.where("size(orgs) > 0 and instr(get(orgs, 0), ' ') > 0").select("id", initials.alias("short")).join(short.select("short").distinct(), "short", "left_semi").select("id", "short")
-    met = people.select("id", "key").union(short.union(spelled).select("id", F.concat(F.lit("initials:"), "short")))
-    people = met.join(people.drop("key"), "id")
+    short = one.where("domain is null and size(orgs) > 0 and length(get(orgs, 0)) between 2 and 5 and instr(get(orgs, 0), ' ') = 0").select("id", F.get("orgs", F.lit(0)).alias("short"))
+    spelled = one.where("size(orgs) > 0 and instr(get(orgs, 0), ' ') > 0").select("id", initials.alias("short")).join(short.select("short").distinct(), "short", "left_semi").select("id", "short")
+    met = one.select("id", "key").union(short.union(spelled).select("id", F.concat(F.lit("initials:"), "short")))
     forms = F.flatten(F.transform("names", lambda n: F.flatten(F.transform(F.split(n, " "), lambda w: _ngrams(w, NAME_GRAM)))))
-    grams = people.select("id", F.explode(F.transform(F.array_distinct(forms), lambda g: F.concat_ws("|", "key", g))).alias("gram")).distinct()
+    grams = met.join(one.select("id", "names"), "id").select("id", F.explode(F.transform(F.array_distinct(forms), lambda g: F.concat_ws("|", "key", g))).alias("gram")).distinct()
     near = cosine_pairs(grams, NAME_COSINE)
-    own = records.where("node_type = 'PERSON'")
-    side = lambda s: own.select(F.col("id").alias(s), F.col("names").alias(f"names_{s}"), F.col("emails").alias(f"emails_{s}"))
-    alike = near.join(side("a"), "a").join(side("b"), "b").where(agree_udf("names_a", "emails_a", "names_b", "emails_b")).select("a", "b")
-    mails = own.select("id", F.explode("emails").alias("email"))
+    side = lambda s: one.select(F.col("id").alias(s), F.col("names").alias(f"names_{s}"), F.col("emails").alias(f"emails_{s}"))
+    alike = near.join(side("a"), "a").join(side("b"), "b").where(agree_udf("names_a", "emails_a", "names_b", "emails_b")).select("a", "b", F.lit(False).alias("same"), (F.size("emails_a") > 0).alias("mail_a"), (F.size("emails_b") > 0).alias("mail_b"))
+    mails = one.select("id", F.explode("emails").alias("email"))
     first = mails.groupBy("email").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    shared = mails.join(first.select("email", "a"), "email").where("id <> a").select("a", F.col("id").alias("b"))
-    labels = connected_components(alike.union(shared)).df
-    grouped = labels.select("id", "label").join(records.select("id", "names", "emails"), "id").repartition("label").sortWithinPartitions("label", "id")
-    person_pairs = grouped.mapInPandas(_cluster, "id_a string, id_b string")
+    shared = mails.join(first.select("email", "a"), "email").where("id <> a").select("a", F.col("id").alias("b"), *(F.lit(True).alias(c) for c in ("same", "mail_a", "mail_b")))
+    links = write_stage(alike.union(shared), "name-links").df
+    labels = connected_components(links).df
+    placed = links.join(labels.select(F.col("id").alias("a"), "label"), "a").repartition("label").sortWithinPartitions("label", "a", "b")
+    clustered = placed.mapInPandas(_cluster, "rep string, cluster string")
+    final = write_stage(member.join(clustered, "rep", "left").select("id", F.coalesce("cluster", "rep").alias("cluster")), "name-clusters").df
+    person_pairs = final.select(F.col("id").alias("id_a"), "cluster").join(final.select(F.col("id").alias("id_b"), "cluster"), "cluster").where("id_a < id_b").select("id_a", "id_b")
     return org_pairs.union(person_pairs).distinct()

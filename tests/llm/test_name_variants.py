@@ -68,6 +68,8 @@ def test_average_linkage_keeps_contradictions_apart():
     c = nv.average_linkage(4, {(0, 1): 1.0, (1, 2): 1.0, (2, 3): 1.0})
     assert c[0] == c[1] and c[2] == c[3] and c[0] != c[2]
     assert len(set(nv.average_linkage(3, {}))) == 3
+    c = nv.average_linkage(4, {(i, j): 1.0 for i in range(4) for j in range(i + 1, 4) if (i, j) != (0, 3)}, frozenset([0, 3]))
+    assert c[0] != c[3] and c[0] == c[1] == c[2]
 
 
 def test_defined_cases(spark):
