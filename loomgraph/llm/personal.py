@@ -79,6 +79,15 @@ _ADDRESS = re.compile(
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
+# Words without which a pattern above can't match: a text's set of words rules most patterns out.
+_LETTERS = re.compile(r"[^\W\d_]+")
+_SIGNS_OF_ID = frozenset("ssn social sin passport pasaporte passeport reisepass insurance student matriculation matrikel qq".split())
+_SIGNS_OF_STREET = frozenset("street road lane avenue ave boulevard blvd rue calle via".split())
+_STREET_ENDS = ("straße", "strasse", "weg", "platz", "gasse", "allee")
+_PLAIN_ID = re.compile(r"\d{3}-\d{2}-\d{4}")
+_SEVEN_DIGITS = re.compile(r"\d(?:[\s.()+-]{0,2}\d){6}")
+
+
 class Lexicon(NamedTuple):
     """Given names; beginnings and ends of family names, of LONG and SHORT letters."""
 
@@ -91,6 +100,19 @@ class Lexicon(NamedTuple):
             return False
         return (word[:LONG] in self.prefixes and word[-SHORT:] in self.suffixes) or (word[:SHORT] in self.prefixes and word[-LONG:] in self.suffixes)
 
+    def family_word(self, word: str) -> bool:
+        """family() of a word as written, remembered."""
+        known = _FAMILY.get(word)
+        if known is None:
+            if len(_FAMILY) > 500_000 or _FAMILY.get("") is not self.prefixes:
+                _FAMILY.clear()
+                _FAMILY[""] = self.prefixes
+            known = _FAMILY[word] = self.family(fold(word))
+        return known
+
+
+_FAMILY: dict[str, object] = {}
+
 
 def fold(word: str) -> str:
     """Lower case without marks, letter by letter."""
@@ -128,8 +150,9 @@ def plain(text: str) -> tuple[str, list[tuple[int, int]] | None]:
             chars.append(c)
             places.append((i, i + 1) if at is None else at[i])
         out, at = "".join(chars), places
+    words = set(_LETTERS.findall(out.lower()))
     for pattern, rewrite in ((_SPELLED, _digits), (_DISGUISE, _sign)):
-        if pattern is _DISGUISE and not _MAYBE.search(out):
+        if (words.isdisjoint(DIGIT_WORDS) if pattern is _SPELLED else "at" not in words or not _MAYBE.search(out)):
             continue
         pieces, places, last = [], [], 0
         for m in pattern.finditer(out):
@@ -161,9 +184,9 @@ def _sign(m: re.Match) -> str:
 
 
 def _names(text: str, lex: Lexicon) -> list[tuple[int, int]]:
-    tokens = [(m.start(), m.end(), fold(m[0])) for m in _TOKEN.finditer(text)]
-    if lex.given.isdisjoint(t[2] for t in tokens) and HONORIFICS.isdisjoint(t[2] for t in tokens) and not any(e - s == 1 for s, e, _ in tokens):
+    if not any(map(lex.family_word, set(_TOKEN.findall(text)))):
         return []
+    tokens = [(m.start(), m.end(), fold(m[0])) for m in _TOKEN.finditer(text)]
     found = []
     for k, (s, e, w) in enumerate(tokens):
         if w in lex.given or not lex.family(w):
@@ -215,9 +238,14 @@ def spans(text: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
     if "@" in work:
         take("EMAIL", [m.span() for m in _EMAIL.finditer(work)])
     if any(c in work for c in "0123456789"):
-        take("ID_NUMBER", [m.span() for m in _ID.finditer(work)])
-        take("ADDRESS", [m.span() for m in _ADDRESS.finditer(work)])
-        take("PHONE", [m.span() for m in _PHONE.finditer(work) if not _NOT_PHONE.search(work[max(0, m.start() - 14) : m.start()])])
+        low = work.lower()
+        words = set(_LETTERS.findall(low))
+        if not words.isdisjoint(_SIGNS_OF_ID) or _PLAIN_ID.search(work):
+            take("ID_NUMBER", [m.span() for m in _ID.finditer(work)])
+        if not words.isdisjoint(_SIGNS_OF_STREET) or any(e in low for e in _STREET_ENDS):
+            take("ADDRESS", [m.span() for m in _ADDRESS.finditer(work)])
+        if _SEVEN_DIGITS.search(work):
+            take("PHONE", [m.span() for m in _PHONE.finditer(work) if not _NOT_PHONE.search(work[max(0, m.start() - 14) : m.start()])])
     take("NAME", _names(work, lex))
     hits.sort()
     return hits if at is None else [(at[s][0], at[e - 1][1], k) for s, e, k in hits if e > s]
