@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from loomgraph.runtime import ship_package, write_stage
 
 # The field names that the connectors render before a body.
-FIELD_NAMES = frozenset(["note", "date", "category", "type", "tags", "linksto", "calendarevent", "end", "location", "participants", "details", "recurrence"])
+FIELD_NAMES = frozenset(["note", "date", "category", "type", "tags", "linksto", "calendarevent", "end", "location", "participants", "attendees", "details", "recurrence"])
 BODY_MEMBER = "text"
 LEFT_OUT = ("PERSON", "ORGANIZATION")
 _DROP = re.compile(r"[\W_]+")
