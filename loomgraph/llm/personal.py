@@ -8,7 +8,7 @@ the rest of the text stays as it was.
 
 Names: a family name counts with a given name, an initial or an honorific before it, or a given name after a comma. What
 is a given name and what looks like a family name is learned from all PERSON nodes: given names (of titles and
-aliases) stated twice or more, and the first and last three and four letters of family names that two or more of them
+aliases) stated twice or more (once in ``COMMON`` people), and the first and last three and four letters of family names that two or more of them
 (and one in ``RARE``) share: four at one end and three at the other mark a family name. Four letters of an alphabet bound the second; the
 first is bounded by ``GIVEN_LIMIT``, the most frequent ones.
 
@@ -34,7 +34,7 @@ from loomgraph.llm.nicknames import SHORT_FORMS
 from loomgraph.runtime import ship_package
 
 KINDS = ("EMAIL", "ID_NUMBER", "PHONE", "ADDRESS", "NAME")
-GIVEN_LIMIT, LONG, SHORT, RARE = 100_000, 4, 3, 1000
+GIVEN_LIMIT, LONG, SHORT, RARE, COMMON = 100_000, 4, 3, 1000, 5000
 # Titles before a family name, and letters of other alphabets that look like Latin ones.
 HONORIFICS = frozenset("mr mrs ms miss mx dr prof professor sir dame herr frau mme mlle monsieur madame señor señora senor senora sr sra don doña".split())
 HOMOGLYPHS = dict(zip("аеорсухіјѕһԁӏАВЕКМНОРСТУХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανρι", "aeopcyxijshdlABEKMHOPCTYXIJSABEZHIKMNOPTYXoavpi", strict=True))
@@ -198,9 +198,9 @@ def _names(text: str, lex: Lexicon) -> list[tuple[int, int]]:
             gap = text[pe:gap_end]
             if not re.fullmatch(r"\.?\s{1,4}|\.", gap):
                 break
-            if pw in HONORIFICS or (pw in lex.given and "." not in gap.rstrip()):
+            if pw in HONORIFICS or pw in lex.given:
                 start = ps
-            elif pw in lex.given:
+            elif gap.startswith(".") and 2 <= len(pw) <= 4 and text[ps].isupper() and any(g.startswith(pw) for g in lex.given):
                 start = ps  # an abbreviated given name, with its full stop
             elif pe - ps == 1 and (gap.startswith(".") or (text[ps].isupper() and text[ps] not in "IA")):
                 start = ps
@@ -289,10 +289,13 @@ def name_lexicon(nodes: DataFrame) -> Lexicon:
     comma = F.split(name, r"\s*,\s*")
     turned = F.size(comma) == 2
     letters = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}'’-]", ""))
-    names = raw.select(letters(F.when(turned, F.split(comma[1], " ")[0]).otherwise(parts[0])).alias("given"), letters(F.when(turned, comma[0]).when(F.size(parts) >= 2, F.element_at(parts, -1))).alias("family"))
+    # a short form with a full stop, as 'The. Galdovik', is no given name by itself: in a text it counts with its stop only
+    first = F.when(turned, F.split(comma[1], " ")[0]).otherwise(parts[0])
+    names = raw.select(letters(F.when(~first.endswith("."), first)).alias("given"), letters(F.when(turned, comma[0]).when(F.size(parts) >= 2, F.element_at(parts, -1))).alias("family"))
     both = F.array(F.struct(F.lit("given").alias("role"), F.col("given").alias("word")), F.struct(F.lit("family").alias("role"), F.col("family").alias("word")))
     words = names.select(F.explode(both).alias("x")).select("x.*").where(F.length("word") >= 2).groupBy("word").agg(F.count_if(F.col("role") == "given").alias("n_given"), F.count_if(F.col("role") == "family").alias("n_family"))
-    given = words.where("n_given >= 2 and n_given > n_family").orderBy(F.desc("n_given"), "word").limit(GIVEN_LIMIT).collect()
+    told = max(2, people.count() // COMMON)
+    given = words.where((F.col("n_given") >= told) & (F.col("n_given") > F.col("n_family"))).orderBy(F.desc("n_given"), "word").limit(GIVEN_LIMIT).collect()
     families = words.where((F.col("n_family") > F.col("n_given")) & (F.length("word") > LONG)).select(F.col("word").alias("family"))
     least = max(2, families.count() // RARE)
     side = lambda s, n: F.struct(F.lit(s).alias("side"), (F.substring("family", 1, n) if s == "p" else F.substring("family", -n, n)).alias("part"))
