@@ -5,7 +5,8 @@ A text is the set of its sequences of ``SHINGLE`` consecutive words; two texts a
 to all anchors that could also hold a partner, fingerprints are compared per anchor, and survivors are verified.
 
 * Fingerprint: 64 parity bits of the set. Its Hamming distance never exceeds the size of the symmetric difference, so
-  with d = (|A|+|B|)(1-t)/(1+t) a pair further apart than d is no pair: the comparison loses nothing.
+  with d = (|A|+|B|)(1-t)/(1+t) a pair further apart than d is no pair: the comparison loses nothing. Pairs that met at
+  an anchor are compared once more by 256 other parity bits, before any set moves.
 * Anchors: a covering code over bit vectors does not serve here. At t = 0.7 two linked texts of 60 sequences may differ
   in 21 of them, and a radius of 21 around a code word of 64 bits takes in nearly all code words (a 23 bit code of
   radius 3 gives 71 anchors a text and finds 53 % of the pairs at t). The anchors are therefore the rarest members of
@@ -41,7 +42,7 @@ from loomgraph.llm.merkle import capture_digest
 from loomgraph.runtime import ship_package, write_stage
 
 SHINGLE, THRESHOLD_NUM, THRESHOLD_DEN, MIN_WORDS = 3, 7, 10, 30
-COUNTERS, SLICES = 1 << 20, 16
+COUNTERS, SLICES, WIDE = 1 << 20, 16, 4
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], dtype=np.uint64)
 
@@ -57,6 +58,7 @@ PRINT_SCHEMA = T.StructType(
         T.StructField("n", T.IntegerType()),
         T.StructField("sig", T.ArrayType(T.IntegerType())),
         T.StructField("fp", T.LongType()),
+        T.StructField("wide", T.ArrayType(T.LongType())),
     ]
 )
 
@@ -91,7 +93,7 @@ class ShingleHasher:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, min_words: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("table_name", pa.string()), ("id", pa.string()), ("words_key", pa.binary()), ("ref", pa.int64()), ("letters_key", pa.int64()), ("copy_key", pa.binary()), ("first", pa.bool_()), ("n", pa.int32()), ("sig", pa.list_(pa.int32())), ("fp", pa.int64())])
+    schema = pa.schema([("table_name", pa.string()), ("id", pa.string()), ("words_key", pa.binary()), ("ref", pa.int64()), ("letters_key", pa.int64()), ("copy_key", pa.binary()), ("first", pa.bool_()), ("n", pa.int32()), ("sig", pa.list_(pa.int32())), ("fp", pa.int64()), ("wide", pa.list_(pa.int64()))])
     hasher, seen = ShingleHasher(k), set()
     for b in batches:
         cols: list[list] = [[] for _ in schema]
@@ -107,7 +109,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, min_words: int) ->
             seen.add(ref)
             sig = hasher(words)
             bits = np.packbits((np.bincount(sig & 63, minlength=64) & 1).astype(np.uint8))
-            row = (name, i, key, ref, xxhash.xxh64_intdigest("".join(words)) - (1 << 63), capture_digest(text) if name == "captures" else None, fresh, len(sig), sig, int(bits.view(np.int64)[0]))
+            wide = np.packbits((np.bincount((sig >> 6) & (64 * WIDE - 1), minlength=64 * WIDE) & 1).astype(np.uint8)).view(np.int64)
+            row = (name, i, key, ref, xxhash.xxh64_intdigest("".join(words)) - (1 << 63), capture_digest(text) if name == "captures" else None, fresh, len(sig), sig, int(bits.view(np.int64)[0]), wide)
             for c, v in zip(cols, row, strict=True):
                 c.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
@@ -190,6 +193,11 @@ def near_copies(texts: DataFrame, k: int = SHINGLE, num: int = THRESHOLD_NUM, de
         & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) * (num + den) <= (F.col("a.n") + F.col("b.n")) * (den - num))
     )
     pairs = a.join(b, (F.col("a.anchor") == F.col("b.anchor")) & near).select(F.col("a.ref").alias("ref_a"), F.col("b.ref").alias("ref_b")).distinct()
+    # a second, wider fingerprint is compared by pair, before the sets themselves move
+    wide = prints.where("first").select("ref", "n", "wide").repartition("ref").dropDuplicates(["ref", "n", "wide"])
+    look = lambda s: wide.select(F.col("ref").alias(f"ref_{s}"), F.col("n").alias(f"n_{s}"), F.col("wide").alias(f"wide_{s}"))
+    apart = sum((F.bit_count(F.col("wide_a")[i].bitwiseXOR(F.col("wide_b")[i])) for i in range(WIDE)), F.lit(0))
+    pairs = pairs.join(look("a"), "ref_a").join(look("b"), "ref_b").where(apart * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("ref_a", "ref_b")
     sets = prints.where("first").select("ref", "words_key", "letters_key", "sig").repartition("ref").dropDuplicates(["ref", "words_key"])
     side = lambda s: sets.select(F.col("ref").alias(f"ref_{s}"), F.col("words_key").alias(f"key_{s}"), F.col("letters_key").alias(f"letters_{s}"), F.col("sig").alias(f"sig_{s}"))
     both = F.size(F.array_intersect("sig_a", "sig_b"))
