@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import abuse, byte_bpe, leakage, merkle, name_variants, near_copies, personal
+from loomgraph.llm import abuse, byte_bpe, leakage, merkle, name_variants, near_copies, oracle, personal
 from loomgraph.runtime import table
 
 #: Edits that p9_passages grants to either side of an exact run.
@@ -76,4 +76,4 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p8_report": p8_report, "p9_found": p9_found, "p9_passages": p9_passages, "p6_found": p6_found, "p2_found": p2_found, "p2_counts": p2_counts}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracle.SQL
