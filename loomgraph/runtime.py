@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 PACKAGE_ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -36,12 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
 class Stage:
     """A table written to the shared folder: it cuts lineage, survives the loss of executors and can be dropped."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, schema: StructType):
+        self.spark, self.path, self.schema = spark, path, schema
 
     @property
     def df(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        # with the schema at hand no job reads footers for it, and a table without files is an empty one
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -55,7 +57,12 @@ def write_stage(df: DataFrame, name: str, partitions: int | None = None) -> Stag
     path = f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
     out = df.coalesce(partitions) if partitions else df
     out.write.option("compression", "zstd").parquet(path)
-    return Stage(spark, path)
+    return Stage(spark, path, out.schema)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete all written stages below the shared folder: for the end of a job, when no result is read any more."""
+    Stage(spark, f"{shared_dir(spark)}/loomgraph", StructType()).drop()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -67,13 +74,12 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_loomgraph_shipped", False):
         return
-    if not sc.master.startswith("local["):
-        import shutil
+    # workers of a local session have the driver's environment, not its sys.path, so they need the package as well
+    import shutil
 
-        build = tempfile.mkdtemp(prefix="loomgraph-ship-")
-        stem = f"{build}/loomgraph_pkg"
-        shutil.make_archive(stem, "zip", PACKAGE_ROOT, "loomgraph")
-        sc.addPyFile(stem + ".zip")
+    stem = tempfile.mkdtemp(prefix="loomgraph-ship-") + "/loomgraph_pkg"
+    shutil.make_archive(stem, "zip", PACKAGE_ROOT, "loomgraph")
+    sc.addPyFile(stem + ".zip")
     sc._loomgraph_shipped = True
 
 
