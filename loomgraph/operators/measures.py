@@ -59,9 +59,9 @@ def network_health(nodes: DataFrame, months: list[str]) -> DataFrame:
     Completion is that of the commitments created so far (1 without any), alerts are open ones past their day (0 without
     any open), a network is stale by the nodes with a decay score below 0.3.
     """
-    snaps = F.array(*(F.lit(m).cast("timestamp") for m in months))
+    snaps = F.array(*(F.lit(m).cast("timestamp_ntz") for m in months))
     first_after = lambda x: F.array_min(F.filter(snaps, lambda m: m > x))
-    status, due, created = prop("status"), iso_day(prop("due_date")).cast("timestamp"), F.col("created_at")
+    status, due, created = prop("status"), iso_day(prop("due_date")).cast("timestamp_ntz"), F.col("created_at").cast("timestamp_ntz")
     is_c = F.col("node_type") == "COMMITMENT"
     is_open = is_c & (status == "open")
     # each node counts from the first snapshot after it appears, an overdue one from the first after its day as well:
@@ -74,7 +74,7 @@ def network_health(nodes: DataFrame, months: list[str]) -> DataFrame:
     )
     summed = per_network(live(nodes)).select("network", F.explode(marks).alias("m")).select("network", "m.*").where("snapshot is not null").groupBy("network", "snapshot").agg(*(F.sum(c).alias(c) for c in HEALTH_COUNTS))
     spark = nodes.sparkSession
-    grid = summed.select("network").distinct().crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in months], "s string").select(F.col("s").cast("timestamp").alias("snapshot"))))
+    grid = summed.select("network").distinct().crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in months], "s string").select(F.col("s").cast("timestamp_ntz").alias("snapshot"))))
     so_far = Window.partitionBy("network").orderBy("snapshot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     agg = grid.join(summed, ["network", "snapshot"], "left").select("network", "snapshot", *(F.sum(F.coalesce(c, F.lit(0))).over(so_far).alias(c) for c in HEALTH_COUNTS)).where("n_nodes > 0")
     completion = F.when(F.col("n_commitments") == 0, 1.0).otherwise(F.col("n_completed") / F.col("n_commitments"))
