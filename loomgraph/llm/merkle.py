@@ -31,11 +31,11 @@ from loomgraph.runtime import ship_package, write_stage
 FIELD_NAMES = frozenset(["note", "date", "category", "type", "tags", "linksto", "calendarevent", "end", "location", "participants", "attendees", "details", "recurrence"])
 BODY_MEMBER = "text"
 LEFT_OUT = ("PERSON", "ORGANIZATION")
-_DROP = re.compile(r"[\W_]+")
+_KEEP = re.compile(r"[^\W_]+")
 
 
 def norm(text: str) -> str:
-    return _DROP.sub("", text.casefold())
+    return "".join(_KEEP.findall(text.casefold()))
 
 
 def record(text: str) -> tuple[list[tuple[str, object]], object]:

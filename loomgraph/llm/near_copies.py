@@ -77,12 +77,10 @@ class ShingleHasher:
         cache = self.cache
         if len(cache) > 500_000:
             cache.clear()
-        w = np.empty(len(words), dtype=np.uint64)
-        for i, x in enumerate(words):
-            h = cache.get(x)
-            if h is None:
-                h = cache[x] = xxhash.xxh64_intdigest(x)
-            w[i] = h
+        for x in words:
+            if x not in cache:
+                cache[x] = xxhash.xxh64_intdigest(x)
+        w = np.array([cache[x] for x in words], dtype=np.uint64)
         m = len(words) - self.k + 1
         h = w[:m] * _MIX[0]
         for j in range(1, self.k):
