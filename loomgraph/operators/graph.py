@@ -154,19 +154,21 @@ def components(links: DataFrame) -> DataFrame:
     return connected_components(links.select("a", "b")).df
 
 
-def link_scores(links: DataFrame, without: DataFrame | None = None) -> DataFrame:
-    """(a, b, n_common, score) of pairs that share neighbours but no link: 0.6 times the sum of 1 / ln(degree) over the
+def link_scores(links: DataFrame, block: int = 1000) -> DataFrame:
+    """(a, b, n_common, score) of all pairs that share a neighbour but no link: 0.6 times the sum of 1 / ln(degree) over the
     common neighbours plus 0.4 times their number by the root of the degrees' product.
 
-    Pairs are made per common neighbour, so its degree counts squared; ``without`` (id) names hubs that make no pairs.
+    Pairs are made per common neighbour, so its degree counts squared. The neighbours of a hub are hashed to blocks of about
+    ``block``, and each pair of blocks is a join key of its own, so no task makes all pairs of a hub.
     """
     near = both_ways(links).select("id", "nbr")
     deg = near.groupBy("id").agg(F.count("*").alias("degree"))
-    middle = near.join(deg.select(F.col("id").alias("nbr"), F.col("degree").alias("middle")), "nbr")
-    if without is not None:
-        middle = middle.join(without.select(F.col("id").alias("nbr")), "nbr", "left_anti")
-    x, y = middle.select(F.col("id").alias("a"), "nbr", "middle"), middle.select(F.col("id").alias("b"), "nbr")
-    pairs = x.join(y, "nbr").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_common"), F.sum(F.when(F.col("middle") > 1, 1 / F.log(F.col("middle").cast("double")))).alias("adamic"))
+    blocks = F.ceil(F.col("degree") / block).cast("int")
+    middle = near.join(deg.select(F.col("id").alias("nbr"), F.col("degree").alias("middle"), blocks.alias("blocks")), "nbr")
+    own, every = F.pmod(F.hash("id"), F.col("blocks")), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = middle.select(F.col("id").alias("a"), "nbr", "middle", own.alias("block_a"), every.alias("block_b"))
+    y = middle.select(F.col("id").alias("b"), "nbr", own.alias("block_b"), every.alias("block_a"))
+    pairs = x.join(y, ["nbr", "block_a", "block_b"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_common"), F.sum(F.when(F.col("middle") > 1, 1 / F.log(F.col("middle").cast("double")))).alias("adamic"))
     pairs = pairs.join(links.select("a", "b"), ["a", "b"], "left_anti")
     of = lambda s: deg.select(F.col("id").alias(s), F.col("degree").alias(f"degree_{s}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_common", F.round(0.6 * F.coalesce("adamic", F.lit(0.0)) + 0.4 * F.col("n_common") / F.greatest(F.sqrt(F.col("degree_a").cast("double") * F.col("degree_b")), F.lit(1.0)), 6).alias("score"))

@@ -1,10 +1,13 @@
 import heapq
+import math
 import random
 
 import pytest
 
 from loomgraph.operators import graph as g
+from loomgraph.operators.lookup import OWNER
 from loomgraph.operators.temporal import as_of_join, burst_windows
+from loomgraph.plans import graphs
 
 
 def links(spark, pairs):
@@ -108,6 +111,24 @@ def test_betweenness_of_all_sources(spark, random_graph):
     assert {k: got.get(k, 0.0) for k in want} == pytest.approx(want)
 
 
+def test_predicted_links_of_all_pairs(spark, tmp_path, random_graph):
+    pairs = [*random_graph, *((OWNER, f"n{i:02d}", 1.0) for i in range(0, 30, 2)), (OWNER, "alone", 1.0)]
+    n = near(pairs)
+    spark.createDataFrame([(x, False) for x in n], "id string, deleted boolean").write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.createDataFrame(pairs, "source_id string, target_id string, weight double").write.parquet(f"{tmp_path}/edges.parquet")
+    want = {}
+    for a in n:
+        for b in n:
+            common = n[a].keys() & n[b].keys()
+            if a < b and b not in n[a] and common:
+                adamic = sum(1 / math.log(len(n[x])) for x in common if len(n[x]) > 1)
+                want[a, b] = (len(common), pytest.approx(0.6 * adamic + 0.4 * len(common) / max(math.sqrt(len(n[a]) * len(n[b])), 1), abs=1e-6))
+    assert any(v[0] == 1 for v in want.values())
+    assert {(r.a, r.b): (r.n_common, r.score) for r in graphs.predicted_links(spark, str(tmp_path)).collect()} == want
+    blocked = g.link_scores(links(spark, pairs), block=3).collect()
+    assert len(blocked) == len(want) and {(r.a, r.b): (r.n_common, r.score) for r in blocked} == want
+
+
 def test_ranks_sum_to_one(spark):
     nodes = spark.createDataFrame([(x, False) for x in "abcd"], "id string, deleted boolean")
     edges = spark.createDataFrame([("a", "b", None, False), ("b", "c", 2.0, True), ("x", "a", 1.0, False)], "source_id string, target_id string, weight double, bidirectional boolean")
