@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loomgraph.operators.lookup import distinct_edges, live, prop, symmetric
+from loomgraph.runtime import ship_package
 
 
 def profile(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame) -> DataFrame:
@@ -94,10 +98,26 @@ def ordered_notices(notices: DataFrame) -> DataFrame:
     return notices.orderBy(rank, F.desc("created_at"), "id")
 
 
+def stated_properties(raw: str | None) -> str | None:
+    """The properties of a JSON object as 'k: v', in their order and as Python writes values; nulls are left out."""
+    try:
+        doc = json.loads(raw) if raw else None
+    except ValueError:
+        return None
+    if not isinstance(doc, dict):
+        return None
+    return " ".join(f"{k}: {v}" for k, v in doc.items() if v is not None) or None
+
+
 def embedding_text(nodes: DataFrame) -> DataFrame:
-    """(id, text): what stands for a node in a vector space: title, content and its plain properties."""
-    pairs = F.transform(F.map_entries(F.from_json("properties", "map<string,string>")), lambda e: F.concat_ws(": ", e["key"], e["value"]))
-    return live(nodes).select("id", F.concat_ws("\n", "title", F.nullif(F.col("content"), F.lit("")), F.array_join(F.array_sort(pairs), "\n")).alias("text"))
+    """(id, text): what stands for a node in a vector space: title, content and its properties."""
+    ship_package(nodes.sparkSession)
+
+    @F.pandas_udf(StringType())
+    def stated(column: pd.Series) -> pd.Series:
+        return column.map(stated_properties)
+
+    return live(nodes).select("id", F.concat_ws(" ", "title", F.nullif(F.col("content"), F.lit("")), stated("properties")).alias("text"))
 
 
 def dated(nodes: DataFrame) -> DataFrame:

@@ -95,10 +95,7 @@ def mutual_connections(spark, d):
 
 @query("embedding_texts", f"SELECT id, length(title) + coalesce(length(nullif(content, '')), 0) AS n FROM {LIVE} WHERE title IS NOT NULL AND properties IS NULL")
 def embedding_texts(spark, d):
-    own = t(spark, d, "nodes").where("title is not null and properties is null")
-    breaks = F.size(F.split("text", "\n")) - 1
-    plain = vw.embedding_text(own).join(own.select("id", (F.size(F.split("title", "\n")) - 1 + F.coalesce(F.size(F.split(F.nullif(F.col("content"), F.lit("")), "\n")) - 1, F.lit(0))).alias("own_breaks")), "id")
-    return plain.select("id", (F.length("text") - (breaks - F.col("own_breaks"))).cast("long").alias("n"))
+    return vw.embedding_text(t(spark, d, "nodes"))
 
 
 @query("review_queue", f"SELECT id, date_diff('day', review_date::DATE, DATE '{AS_OF}') AS days_overdue FROM {LIVE} WHERE review_date <= TIMESTAMP '{AS_OF}' ORDER BY days_overdue DESC, id LIMIT 50")
