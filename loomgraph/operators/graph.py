@@ -222,6 +222,16 @@ def betweenness(links: DataFrame, sources: DataFrame, max_hops: int = 64) -> Dat
     return total.groupBy("id").agg(F.sum("delta").alias("betweenness"))
 
 
+def normalised_betweenness(nodes: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """(id, betweenness) of every live node, as a share of the pairs of other nodes: exact where there are no more than
+    ``most`` nodes, else the sums of ``most`` sources (the lowest hashes) scaled to all."""
+    ids = live(nodes).select("id")
+    n = ids.count()
+    sources = ids.orderBy(F.xxhash64("id"), "id").limit(most)
+    scale = n / max(min(n, most), 1) / max((n - 1) * (n - 2), 1)
+    return ids.join(betweenness(links, sources), "id", "left").select("id", (F.coalesce("betweenness", F.lit(0.0)) * scale).alias("betweenness"))
+
+
 def cut_links(links: DataFrame, max_component: int = 1_000_000) -> DataFrame:
     """(a, b) whose removal splits a component: low-link numbers by depth-first search, one component at a time.
 

@@ -53,7 +53,8 @@ def hub_scores(spark, d):
     nodes, links = t(spark, d, "nodes"), gq.links(spark, d)
     ranks = g.pagerank(nodes, t(spark, d, "edges"), gq.ROUNDS)
     deg = g.degree_centrality(nodes, links)
-    return deg.join(ranks, "id").join(gq.betweenness(spark, d), "id", "left").select("id", F.round(vw.hub_score(F.col("centrality"), F.coalesce("betweenness", F.lit(0.0)) / 1e6, F.col("rank")), 9).alias("score"))
+    between = g.normalised_betweenness(nodes, links, gq.SOURCES)
+    return deg.join(ranks, "id").join(between, "id").select("id", F.round(vw.hub_score(F.col("centrality"), F.col("betweenness"), F.col("rank")), 9).alias("score"))
 
 
 @query("title_changes", f"SELECT id, 'title' AS field, title AS old, json_extract_string(properties, '$.name') AS new FROM {LIVE} WHERE node_type IN ('PERSON', 'ORGANIZATION') AND title IS DISTINCT FROM json_extract_string(properties, '$.name')")

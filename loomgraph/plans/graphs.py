@@ -12,6 +12,7 @@ from loomgraph.plans.relational import LIVE, SEEDS, SYM, seeds, t
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 ROUNDS = 8
+SOURCES = 100
 
 
 def query(name, sql=None):
@@ -125,9 +126,8 @@ def structural_anomalies(spark, d):
 
 @query("betweenness")
 def betweenness(spark, d):
-    """From the nodes whose id hashes lowest: a sampling operator, as the measure is defined by its sources."""
-    sources = lk.live(t(spark, d, "nodes")).orderBy(F.xxhash64("id"), "id").limit(32).select("id")
-    return g.betweenness(links(spark, d), sources).select("id", F.round("betweenness", 6).alias("betweenness"))
+    """From the reference's number of sources, scaled to all and normalised; exact below that number of nodes."""
+    return g.normalised_betweenness(t(spark, d, "nodes"), links(spark, d), SOURCES).select("id", F.round("betweenness", 9).alias("betweenness"))
 
 
 @query("cut_links")

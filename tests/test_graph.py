@@ -7,7 +7,7 @@ import pytest
 from loomgraph.operators import graph as g
 from loomgraph.operators.lookup import OWNER
 from loomgraph.operators.temporal import as_of_join, burst_windows
-from loomgraph.plans import graphs
+from loomgraph.plans import compositions, graphs
 
 
 def links(spark, pairs):
@@ -111,6 +111,30 @@ def test_betweenness_of_all_sources(spark, random_graph):
     assert {k: got.get(k, 0.0) for k in want} == pytest.approx(want)
 
 
+def test_betweenness_and_hub_scores_of_every_node(spark, tmp_path):
+    """A path of 8 nodes and two without a link: exact, as there are fewer nodes than sources."""
+    path = [f"n{i:02d}" for i in range(8)]
+    spark.createDataFrame([(x, False) for x in [*path, "x", "y"]], "id string, deleted boolean").write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.createDataFrame([(a, b, 1.0, True) for a, b in zip(path, path[1:])], "source_id string, target_id string, weight double, bidirectional boolean").write.parquet(f"{tmp_path}/edges.parquet")
+    want = {x: 2 * i * (7 - i) / (9 * 8) for i, x in enumerate(path)} | {"x": 0.0, "y": 0.0}
+    assert {r.id: r.betweenness for r in graphs.betweenness(spark, str(tmp_path)).collect()} == pytest.approx(want, abs=1e-8)
+    nodes, edges = (spark.read.parquet(f"{tmp_path}/{x}.parquet") for x in ("nodes", "edges"))
+    ranks = {r.id: r["rank"] for r in g.pagerank(nodes, edges, graphs.ROUNDS).collect()}
+    degree = {x: (2 - (x in (path[0], path[-1]))) / 9 for x in path} | {"x": 0.0, "y": 0.0}
+    hubs = {r.id: r.score for r in compositions.hub_scores(spark, str(tmp_path)).collect()}
+    assert hubs == pytest.approx({x: 0.4 * degree[x] + 0.3 * want[x] + 0.3 * ranks[x] for x in want}, abs=1e-8)
+
+
+def test_betweenness_of_a_sample_is_scaled(spark):
+    """All nodes of a ring are alike: of any sample, the mean over the nodes is the exact value."""
+    ring = [f"r{i:02d}" for i in range(9)]
+    nodes = spark.createDataFrame([(x, False) for x in ring], "id string, deleted boolean")
+    own = links(spark, [(a, b, 1.0) for a, b in zip(ring, [*ring[1:], ring[0]])])
+    exact = [r.betweenness for r in g.normalised_betweenness(nodes, own, 9).collect()]
+    sampled = [r.betweenness for r in g.normalised_betweenness(nodes, own, 3).collect()]
+    assert len(sampled) == 9 and sum(sampled) / 9 == pytest.approx(exact[0])
+
+
 def test_predicted_links_of_all_pairs(spark, tmp_path, random_graph):
     pairs = [*random_graph, *((OWNER, f"n{i:02d}", 1.0) for i in range(0, 30, 2)), (OWNER, "alone", 1.0)]
     n = near(pairs)
