@@ -44,7 +44,7 @@ _INVISIBLE = frozenset("​‌‍⁠﻿­᠎")
 _DIGIT_WORD = "|".join(DIGIT_WORDS)
 _SPELLED = re.compile(rf"\b(?:{_DIGIT_WORD})(?:[\s,-]+(?:{_DIGIT_WORD}))+\b", re.I)
 _DISGUISE = re.compile(r"(?i)\s*[\[({<]\s*at\s*[\])}>]\s*|\s*[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*|(?<=[a-z0-9])\s+at\s+(?=[a-z0-9-]+(?:\s+dot\s+[a-z0-9-]+)+\b)|(?<=[a-z0-9])\s+(?:dot|punkt)\s+(?=[a-z0-9])")
-_MAYBE = re.compile(r"(?i)\bat\b.{0,80}\b(?:dot|punkt|point|punto)\b|[\[({<]\s*at\s*[\])}>]")
+_BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|dot|punkt|point|punto)\s*[\])}>]")
 
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|(.))")
 _ESCAPED = {"n": "\n", "t": "\t", "r": "\r", "b": " ", "f": " "}
@@ -81,9 +81,11 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 # Words without which a pattern above can't match: a text's set of words rules most patterns out.
 _LETTERS = re.compile(r"[^\W\d_]+")
-_SIGNS_OF_ID = frozenset("ssn social sin passport pasaporte passeport reisepass insurance student matriculation matrikel qq".split())
+_SIGNS_OF_ID = frozenset("ssn social sin passport pasaporte passeport reisepass insurance qq".split())
+_STARTS_OF_ID = ("student", "matriculation", "matrikel")  # these may run on, as in 'StudentID'
 _SIGNS_OF_STREET = frozenset("street road lane avenue ave boulevard blvd rue calle via".split())
 _STREET_ENDS = ("straße", "strasse", "weg", "platz", "gasse", "allee")
+_OTHER_CASES = ("ſ", "ı", "İ")  # letters that patterns take for s and i, but lower() doesn't
 _PLAIN_ID = re.compile(r"\d{3}-\d{2}-\d{4}")
 _SEVEN_DIGITS = re.compile(r"\d(?:[\s.()+-]{0,2}\d){6}")
 
@@ -119,7 +121,11 @@ def fold(word: str) -> str:
     return word.lower() if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word.casefold()) if not unicodedata.combining(c))
 
 
-def plain(text: str) -> tuple[str, list[tuple[int, int]] | None]:
+def _odd(text: str) -> bool:
+    return not text.isascii() and any(c in text for c in _OTHER_CASES)
+
+
+def plain(text: str, gates: bool = True) -> tuple[str, list[tuple[int, int]] | None]:
     """The plain form, and for each of its characters the piece of ``text`` it stands for; None where both agree."""
     out, at = text, None
     if "\\" in text and text.lstrip("\ufeff \n\r\t").startswith("{"):
@@ -152,7 +158,7 @@ def plain(text: str) -> tuple[str, list[tuple[int, int]] | None]:
         out, at = "".join(chars), places
     words = set(_LETTERS.findall(out.lower()))
     for pattern, rewrite in ((_SPELLED, _digits), (_DISGUISE, _sign)):
-        if (words.isdisjoint(DIGIT_WORDS) if pattern is _SPELLED else "at" not in words or not _MAYBE.search(out)):
+        if gates and (words.isdisjoint(DIGIT_WORDS) if pattern is _SPELLED else words.isdisjoint(("dot", "punkt")) and (words.isdisjoint(("at", "point", "punto")) or not _BRACKETED.search(out)) and not _odd(out)):
             continue
         pieces, places, last = [], [], 0
         for m in pattern.finditer(out):
@@ -221,11 +227,12 @@ def _names(text: str, lex: Lexicon) -> list[tuple[int, int]]:
     return found
 
 
-def spans(text: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in the source text, in order and without overlap."""
+def spans(text: str | None, lex: Lexicon, gates: bool = True) -> list[tuple[int, int, str]]:
+    """(start, end, kind) in the source text, in order and without overlap. ``gates`` only save time: without them every
+    pattern is tried on every text, with the same result."""
     if not text:
         return []
-    flat, at = plain(text)
+    flat, at = plain(text, gates)
     hits: list[tuple[int, int, str]] = []
     work = flat
 
@@ -240,11 +247,12 @@ def spans(text: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
     if any(c in work for c in "0123456789"):
         low = work.lower()
         words = set(_LETTERS.findall(low))
-        if not words.isdisjoint(_SIGNS_OF_ID) or _PLAIN_ID.search(work):
+        every = not gates or _odd(work)
+        if every or not words.isdisjoint(_SIGNS_OF_ID) or any(x in low for x in _STARTS_OF_ID) or _PLAIN_ID.search(work):
             take("ID_NUMBER", [m.span() for m in _ID.finditer(work)])
-        if not words.isdisjoint(_SIGNS_OF_STREET) or any(e in low for e in _STREET_ENDS):
+        if every or not words.isdisjoint(_SIGNS_OF_STREET) or any(e in low for e in _STREET_ENDS):
             take("ADDRESS", [m.span() for m in _ADDRESS.finditer(work)])
-        if _SEVEN_DIGITS.search(work):
+        if every or "+" in work or _SEVEN_DIGITS.search(work):
             take("PHONE", [m.span() for m in _PHONE.finditer(work) if not _NOT_PHONE.search(work[max(0, m.start() - 14) : m.start()])])
     take("NAME", _names(work, lex))
     hits.sort()
