@@ -7,10 +7,11 @@ detected in the plain form; their spans are mapped back, so the placeholder repl
 the rest of the text stays as it was.
 
 Names: a family name counts with a given name, an initial or an honorific before it, or a given name after a comma. What
-is a given name and what looks like a family name is learned from all PERSON nodes: given names (of titles and
-aliases) stated twice or more (once in ``COMMON`` people), and the first and last three and four letters of family names that two or more of them
-(and one in ``RARE``) share: four at one end and three at the other mark a family name. Four letters of an alphabet bound the second; the
-first is bounded by ``GIVEN_LIMIT``, the most frequent ones.
+is a given name and what looks like a family name is learned from all PERSON nodes (titles and aliases), at any size alike:
+every word that is stated as a given name at least as often as as a family name, every word that is a family name at least
+as often, and the first and last three and four letters of family names that two or more of them share: four at one end and
+three at the other mark a family name. Four letters of an alphabet bound the last; given names are bounded by
+``GIVEN_LIMIT``, the most frequent ones; whole family names grow with the number of distinct ones.
 
 Scale: one linear pass, no shuffle of texts; the lexicon is a small aggregate that is broadcast with its bound.
 
@@ -34,7 +35,7 @@ from loomgraph.llm.nicknames import SHORT_FORMS
 from loomgraph.runtime import ship_package
 
 KINDS = ("EMAIL", "ID_NUMBER", "PHONE", "ADDRESS", "NAME")
-GIVEN_LIMIT, LONG, SHORT, RARE, COMMON = 100_000, 4, 3, 1000, 5000
+GIVEN_LIMIT, LONG, SHORT = 100_000, 4, 3
 # Titles before a family name, and letters of other alphabets that look like Latin ones.
 HONORIFICS = frozenset("mr mrs ms miss mx dr prof professor sir dame herr frau mme mlle monsieur madame señor señora senor senora sr sra don doña".split())
 HOMOGLYPHS = dict(zip("аеорсухіјѕһԁӏАВЕКМНОРСТУХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανρι", "aeopcyxijshdlABEKMHOPCTYXIJSABEZHIKMNOPTYXoavpi", strict=True))
@@ -91,13 +92,16 @@ _SEVEN_DIGITS = re.compile(r"\d(?:[\s.()+-]{0,2}\d){6}")
 
 
 class Lexicon(NamedTuple):
-    """Given names; beginnings and ends of family names, of LONG and SHORT letters."""
+    """Given names; beginnings and ends of family names, of LONG and SHORT letters; whole family names."""
 
     given: frozenset[str]
     prefixes: frozenset[str]
     suffixes: frozenset[str]
+    families: frozenset[str] = frozenset()
 
     def family(self, word: str) -> bool:
+        if word in self.families:
+            return True
         if len(word) <= LONG:
             return False
         return (word[:LONG] in self.prefixes and word[-SHORT:] in self.suffixes) or (word[:SHORT] in self.prefixes and word[-LONG:] in self.suffixes)
@@ -106,9 +110,9 @@ class Lexicon(NamedTuple):
         """family() of a word as written, remembered."""
         known = _FAMILY.get(word)
         if known is None:
-            if len(_FAMILY) > 500_000 or _FAMILY.get("") is not self.prefixes:
+            if len(_FAMILY) > 500_000 or _FAMILY.get("") is not self:
                 _FAMILY.clear()
-                _FAMILY[""] = self.prefixes
+                _FAMILY[""] = self
             known = _FAMILY[word] = self.family(fold(word))
         return known
 
@@ -195,7 +199,7 @@ def _names(text: str, lex: Lexicon) -> list[tuple[int, int]]:
     tokens = [(m.start(), m.end(), fold(m[0])) for m in _TOKEN.finditer(text)]
     found = []
     for k, (s, e, w) in enumerate(tokens):
-        if w in lex.given or not lex.family(w):
+        if (w in lex.given and w not in lex.families) or not lex.family(w):
             continue
         start = None
         j, gap_end = k - 1, s
@@ -223,6 +227,8 @@ def _names(text: str, lex: Lexicon) -> list[tuple[int, int]]:
                 if not lex.family(after):
                     start, end = s, ne
         if start is not None:
+            if found and start < found[-1][1]:  # a word that is either kind of name ends one and goes on in the next
+                start = min(start, found.pop()[0])
             found.append((start, end))
     return found
 
@@ -302,13 +308,12 @@ def name_lexicon(nodes: DataFrame) -> Lexicon:
     names = raw.select(letters(F.when(~first.endswith("."), first)).alias("given"), letters(F.when(turned, comma[0]).when(F.size(parts) >= 2, F.element_at(parts, -1))).alias("family"))
     both = F.array(F.struct(F.lit("given").alias("role"), F.col("given").alias("word")), F.struct(F.lit("family").alias("role"), F.col("family").alias("word")))
     words = names.select(F.explode(both).alias("x")).select("x.*").where(F.length("word") >= 2).groupBy("word").agg(F.count_if(F.col("role") == "given").alias("n_given"), F.count_if(F.col("role") == "family").alias("n_family"))
-    told = max(2, people.count() // COMMON)
-    given = words.where((F.col("n_given") >= told) & (F.col("n_given") > F.col("n_family"))).orderBy(F.desc("n_given"), "word").limit(GIVEN_LIMIT).collect()
-    families = words.where((F.col("n_family") > F.col("n_given")) & (F.length("word") > LONG)).select(F.col("word").alias("family"))
-    least = max(2, families.count() // RARE)
+    given = words.where((F.col("n_given") > 0) & (F.col("n_given") >= F.col("n_family"))).orderBy(F.desc("n_given"), "word").limit(GIVEN_LIMIT).collect()
+    whole = words.where((F.col("n_family") > 0) & (F.col("n_family") >= F.col("n_given"))).select(F.col("word").alias("family"))
+    families = whole.where(F.length("family") > LONG)
     side = lambda s, n: F.struct(F.lit(s).alias("side"), (F.substring("family", 1, n) if s == "p" else F.substring("family", -n, n)).alias("part"))
-    ends = families.select(F.explode(F.array(*(side(s, n) for s in "ps" for n in (LONG, SHORT)))).alias("x")).select("x.*").groupBy("side", "part").count().where(F.col("count") >= least).collect()
-    return Lexicon(frozenset(fold(r["word"]) for r in given) | frozenset(SHORT_FORMS), frozenset(fold(r["part"]) for r in ends if r["side"] == "p"), frozenset(fold(r["part"]) for r in ends if r["side"] == "s"))
+    ends = families.select(F.explode(F.array(*(side(s, n) for s in "ps" for n in (LONG, SHORT)))).alias("x")).select("x.*").groupBy("side", "part").count().where("count >= 2").collect()
+    return Lexicon(frozenset(fold(r["word"]) for r in given) | frozenset(SHORT_FORMS), frozenset(fold(r["part"]) for r in ends if r["side"] == "p"), frozenset(fold(r["part"]) for r in ends if r["side"] == "s"), frozenset(fold(r["family"]) for r in whole.collect()))
 
 
 def private_fields(captures: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -90,6 +90,17 @@ def test_json_capture():
     assert p.redact(t, p.spans(t, LEX)) == '{"note": "x", "text": "a\\n[NAME]\\n[ID_NUMBER]"}'
 
 
+def test_names_stated_once(spark):
+    """Whole names of PERSON nodes are found however rare and short they are, among many people as well."""
+    often = [f"Deepa {f.title()}" for f in FAMILIES] * 1500
+    once = ["Zuzka Oyelaran", "Anna Lee", "Min-Ji Kim", "Kim Lee", "Wu, Xia"]
+    nodes = spark.createDataFrame([("PERSON", x, None) for x in often + once], "node_type string, title string, properties string")
+    lex = p.name_lexicon(nodes)
+    for text, name in [("met Zuzka Oyelaran there", "Zuzka Oyelaran"), ("met Anna Lee there", "Anna Lee"), ("ask Dr. Kim now", "Dr. Kim"), ("met Kim Lee there", "Kim Lee"), ("Xia Wu wrote", "Xia Wu"), ("met Deepa Maldanbury", "Deepa Maldanbury")]:
+        assert [text[s:e] for s, e, _ in p.spans(text, lex)] == [name]
+    assert p.spans("Lee side of the hill, a kim of tea", lex) == []
+
+
 def test_tables_and_defined_cases(spark):
     node = "id string, node_type string, title string, content string, properties string, text string"
     people = [(f"p{i}{j}", "PERSON", f"{g} {f.title()}", None, json.dumps({"contact_info": {"phone": "kate@x.example", "note": "see badge"}}), None) for i, g in enumerate(["Deepa", "Hana"]) for j, f in enumerate(FAMILIES)]
