@@ -4,7 +4,8 @@ Method: noisy-channel deobfuscation. Tokens that the corpus' vocabulary doesn't
 lattice of their characters (look-alike digits and signs, masked letters, letters spaced out or repeated, typing errors)
 and the nodes of a trie with the word frequencies of the corpus as language model. The restored text is scored: pairs of
 neighbouring words weigh as they tell toxic from clean documents among the reviewed ones and from all documents, and a
-run of pairs typical for one category whose sum passes ``HIT`` is a hit of that category.
+run of pairs typical for one category whose sum reaches ``HIT`` is a hit of that category. A pair weighs ``PAIR_CAP`` at
+most, unless its odds alone reach ``HIT``: such a pair is a hit by itself. The highest sum, hit or not, is the score.
 
 Model: word counts of all documents (words in one of ``RARITY`` documents at least, and no more than ``VOCABULARY``), and
 pair weights from at most ``LABEL_LIMIT`` reviewed documents. Both are broadcast within those bounds. Scoring is one
@@ -248,19 +249,19 @@ def pair_weights(restored: DataFrame, labels: DataFrame) -> dict[str, tuple[floa
         if r["t"] / max(everywhere.get(p, 0), 1) >= USUAL_SHARE * usual:
             odds = math.log((r["t"] + 0.5) / (toxic + 1)) - math.log((r["c"] + 0.5) / (clean + 1))
             share = [(r[k] + 0.5) / (docs.get(k, 0) + 5) for k in CATEGORIES]
-            out[p] = (min(odds, PAIR_CAP), share.index(max(share)))
+            out[p] = (odds if odds >= HIT else min(odds, PAIR_CAP), share.index(max(share)))
     return out
 
 
-def hits(tokens: list[str], weights: dict[str, tuple[float, int]]) -> dict[str, float]:
-    """category -> highest sum of a run of its pairs."""
+def sums(tokens: list[str], weights: dict[str, tuple[float, int]]) -> dict[str, float]:
+    """category -> highest sum of a run of its pairs, for every category."""
     run, top = [0.0] * len(CATEGORIES), [0.0] * len(CATEGORIES)
     for a, b in zip(tokens, tokens[1:], strict=False):
         w = weights.get(a + " " + b)
         for k in range(len(CATEGORIES)):
             run[k] = max(0.0, run[k] + (w[0] if w and w[1] == k else STEP))
             top[k] = max(top[k], run[k])
-    return {c: x for c, x in zip(CATEGORIES, top, strict=True) if x >= HIT}
+    return dict(zip(CATEGORIES, top, strict=True))
 
 
 def restore_documents(documents: DataFrame) -> DataFrame:
@@ -279,16 +280,16 @@ def restore_documents(documents: DataFrame) -> DataFrame:
 
 
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, source, score, categories): score in [0, 1), categories of the hits, for every document."""
+    """(doc_id, source, score, categories): score in [0, 1) of the highest sum, categories of the hits, for every document."""
     spark = documents.sparkSession
     restored = write_stage(restore_documents(documents), "abuse-restored").df
     weights = spark.sparkContext.broadcast(pair_weights(restored, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [hits(t.split(" "), weights.value) if t else {} for t in b.column("tokens").to_pylist()]
+            found = [sums(t.split(" "), weights.value) if t else {} for t in b.column("tokens").to_pylist()]
             scores = [1 - math.exp(-max(h.values(), default=0.0) / HIT) for h in found]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(scores, pa.float64()), pa.array([list(h) for h in found], pa.list_(pa.string()))], names=["doc_id", "source", "score", "categories"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(scores, pa.float64()), pa.array([[c for c, x in h.items() if x >= HIT] for h in found], pa.list_(pa.string()))], names=["doc_id", "source", "score", "categories"])
 
     return restored.mapInArrow(run, "doc_id long, source string, score double, categories array<string>")
 

@@ -76,3 +76,18 @@ def test_defined_cases(spark):
     assert len(got) == 5 and not any(r.categories for r in got)
     assert a.score_documents(d.where("false"), labels).count() == 0
     assert a.score_documents(d, labels.where("false")).count() == 5
+
+
+def test_raw_sums_and_decisive_pairs(spark):
+    weights = {"rotten zorbag": (3.0, 0), "vile zorbag": (6.5, 0)}
+    assert a.sums(["you", "rotten", "zorbag"], weights) == {"abuse": 3.0, "hate": 0.0, "sexual": 0.0}
+    docs = [(i, f"note {i} rotten zorbag spoke" if i < 150 else f"note {i} about the old library plan", "s") for i in range(700)]
+    docs += [(1000, "rotten zorbag", "s"), (1001, "the old library plan", "s")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, int(i < 150), "abuse" if i < 150 else None) for i in range(700)], "doc_id long, toxic int, category string")
+    got = {r.doc_id: r for r in a.score_documents(d, labels).collect()}
+    assert got[1000].categories == ["abuse"] and got[1001].categories == [] and got[1001].score == 0
+    # the same pair stated too seldom among the reviewed to decide alone: no hit, but a score
+    few = labels.where("doc_id < 5 or doc_id >= 600")
+    got = {r.doc_id: r for r in a.score_documents(d.where("doc_id < 5 or doc_id >= 600"), few).collect()}
+    assert got[1000].categories == [] and 0 < got[1000].score < 0.63
