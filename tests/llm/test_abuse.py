@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from loomgraph.llm import abuse as a
@@ -91,3 +93,49 @@ def test_raw_sums_and_decisive_pairs(spark):
     few = labels.where("doc_id < 5 or doc_id >= 600")
     got = {r.doc_id: r for r in a.score_documents(d.where("doc_id < 5 or doc_id >= 600"), few).collect()}
     assert got[1000].categories == [] and 0 < got[1000].score < 0.63
+
+
+def test_words_outside_the_lexicon_are_spelled_by_the_character_model():
+    spoken = {w: 50 for w in WORDS} | {"moron": 3, "morning": 40, "tumour": 20, "mortar": 10, "baron": 10}
+    cells = np.zeros(a.CELLS, dtype=np.int64)
+    for w, n in spoken.items():
+        np.add.at(cells, list(a.Characters.cells(w)), n)
+    ch = a.Channel(dict.fromkeys(WORDS, 50), cells)
+    assert ch.restore("m0r0n and b@ron") == ["moron", "and", "baron"]
+    assert ch.restore("mooooroon") == ["moron"] and ch.restore("**baron**") == ["baron"]
+    # a word that stands in the corpus stays what it is, though a word of the lexicon is one letter away
+    assert ch.restore("mortar") == ["mortar"]
+
+
+def test_long_words_are_read_whole():
+    ch = a.Channel({"idiot": 50, "x" * 60: 5})
+    assert ch.restore("x" * 60) == ["x" * 60]
+    assert ch.restore("i" * 20_000 + "diot") == ["idiot"]
+    assert len(ch.restore("q1" * 5_000)) == 1
+
+
+def test_recall_by_kind_of_disguise():
+    ch = a.Channel(dict.fromkeys(WORDS, 50))
+    words = [w for w in WORDS if len(w) > 4]
+    kinds = {
+        "digits": lambda w: w.replace("o", "0").replace("i", "1").replace("e", "3").replace("s", "$"),
+        "repeats": lambda w: w[:2] + w[2] * 4 + w[3:],
+        "mask": lambda w: w[:2] + "*" + w[3:],
+        "spaces": lambda w: " ".join(w),
+        "dots": lambda w: ".".join(w),
+        "swap": lambda w: w[:1] + w[2] + w[1] + w[3:],
+        "missing": lambda w: w[:2] + w[3:],
+    }
+    for kind, f in kinds.items():
+        right = sum(ch.restore(f(w) + " and")[:1] == [w] for w in words)
+        assert right / len(words) >= 0.9, (kind, right, len(words))
+
+
+def test_the_model_is_the_same_however_often_the_corpus_is_stated(spark):
+    docs, truth = corpus(300)
+    one = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, int(i in truth), truth.get(i)) for i in range(200)], "doc_id long, toxic int, category string")
+    words, cells = a.language_model(one, labels)
+    again = one.unionByName(one.withColumn("doc_id", F.col("doc_id") + 1000))
+    more, twice = a.language_model(again, labels)
+    assert set(more) == set(words) and (twice == 2 * cells).all() and words["worthless"] * 2 == more["worthless"]
