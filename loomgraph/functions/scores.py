@@ -10,8 +10,29 @@ from pyspark.sql import functions as F
 
 # Decay rate of each network, half-life factors, and the shares of the tie score.
 NETWORK_DECAY = {"ACADEMIC": 0.05, "PROFESSIONAL": 0.03, "FINANCIAL": 0.02, "HEALTH": 0.05, "PERSONAL_GROWTH": 0.04, "SOCIAL": 0.07, "VENTURES": 0.03, "GOVERNANCE": 0.04, "CLUBS": 0.04}
-DEFAULT_DECAY = 0.04
+DEFAULT_DECAY = 0.01
 HALF_LIFE_DAYS, LN2 = 35.0, 0.693
+# The property that holds a type's date, the statuses that keep a node fresh, and how much an edge type ties.
+DATE_FIELDS = {"EVENT": "event_date", "COMMITMENT": "due_date", "DECISION": "decision_date", "GOAL": "target_date", "PROJECT": "target_date", "PERSON": "last_interaction"}
+ACTIVE_STATUSES = {"COMMITMENT": ("open",), "GOAL": ("active",), "PROJECT": ("active",)}
+TIE_SHARES = {
+    "COLLABORATES_WITH": 1.0,
+    "REPORTS_TO": 0.9,
+    "COMMITTED_TO": 0.85,
+    "RESPONSIBLE_FOR": 0.8,
+    "DECIDED": 0.75,
+    "INTRODUCED_BY": 0.7,
+    "KNOWS": 0.6,
+    "RELATED_TO": 0.5,
+    "BRIDGES": 0.5,
+    "MEMBER_OF": 0.45,
+    "PART_OF": 0.4,
+    "SIMILAR_TO": 0.35,
+    "DERIVED_FROM": 0.3,
+}
+DEFAULT_TIE_SHARE = 0.3
+#: An ISO date, or date and time with or without an offset.
+ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-]\d{2}:\d{2})?)?$"
 
 
 def lookup(values: Mapping[str, float], key: Column, default: float | None = None) -> Column:
@@ -35,6 +56,28 @@ def decay(anchor: Column, as_of: Column, rate: Column, access_count: Column) ->
     return F.exp(-slowed * F.greatest(F.lit(0.0), days_between(as_of, anchor)))
 
 
+def by_type(values: Mapping[str, Column], node_type: str = "node_type") -> Column:
+    return F.coalesce(*(F.when(F.col(node_type) == k, v) for k, v in values.items()))
+
+
+def iso_instant(value: Column) -> Column:
+    """The instant of an ISO text, UTC if it names no offset, else null."""
+    text = F.trim(value)
+    return F.when(text.rlike(ISO), text.try_cast("timestamp"))
+
+
+def relevance(as_of: Column) -> Column:
+    """Relevance of a node: 1 while its status keeps it active or its own date lies ahead, else the decay since the latest
+    of last access, own date and creation, at the rate of its first known network."""
+    status = F.lower(F.get_json_object("properties", "$.status"))
+    active = reduce(Column.__or__, ((F.col("node_type") == k) & status.isin(*v) for k, v in ACTIVE_STATUSES.items()))
+    own = iso_instant(by_type({k: F.get_json_object("properties", f"$.{v}") for k, v in DATE_FIELDS.items()}))
+    known = F.filter("networks", lambda n: n.isin(*NETWORK_DECAY))
+    rate = lookup(NETWORK_DECAY, F.coalesce(F.get(known, F.lit(0)), F.lit("")), DEFAULT_DECAY)
+    anchor = F.greatest(F.col("last_accessed").cast("timestamp"), own, F.col("created_at").cast("timestamp"))
+    return F.when(F.coalesce(active, F.lit(False)) | F.coalesce(own > as_of, F.lit(False)), 1.0).otherwise(decay(anchor, as_of, rate, F.col("access_count")))
+
+
 def recency(updated_at: Column, as_of: Column) -> Column:
     return F.coalesce(F.exp(-LN2 * F.greatest(F.lit(0.0), days_between(as_of, updated_at)) / HALF_LIFE_DAYS), F.lit(0.0))
 
@@ -69,14 +112,15 @@ def tightest_window(days_left: Column, windows: tuple[int, ...] = (1, 3, 7)) ->
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    """1 if equal; 0.85 for the same first word; for containment the share of lengths, 0.7 at least; else 0.6 of the
-    words' Jaccard index."""
+    """1 if equal; 0.85 if one is a single word and the other begins with it; for containment the share of lengths, 0.7 at
+    least; else 0.6 of the words' Jaccard index. An empty name is like none."""
     x, y = F.trim(F.lower(a)), F.trim(F.lower(b))
-    tx, ty = F.array_distinct(F.split(x, r"\s+")), F.array_distinct(F.split(y, r"\s+"))
+    wx, wy = F.split(x, r"\s+"), F.split(y, r"\s+")
+    first = (wx[0] == wy[0]) & ((F.size(wx) == 1) != (F.size(wy) == 1))
     share = F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))
     contained = F.contains(x, y) | F.contains(y, x)
-    jaccard = F.size(F.array_intersect(tx, ty)) / F.size(F.array_union(tx, ty))
-    return F.when(x == y, 1.0).when(F.split(x, r"\s+")[0] == F.split(y, r"\s+")[0], 0.85).when(contained, F.greatest(F.lit(0.7), share)).otherwise(0.6 * jaccard)
+    jaccard = F.size(F.array_intersect(wx, wy)) / F.size(F.array_union(wx, wy))
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(first, 0.85).when(contained, F.greatest(F.lit(0.7), share)).otherwise(0.6 * jaccard)
 
 
 def overlap_share(a: Column, b: Column) -> Column:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.scores import days_between
+
 # How far a source is trusted, and words that carry no statement.
-SOURCE_WEIGHTS = {"user": 1.0, "archivist": 0.85, "researcher": 0.9, "pipeline_auto": 0.75}
+SOURCE_WEIGHTS = {"pipeline_auto": 0.85, "archivist": 0.85, "researcher": 0.75, "outcome_tracker": 1.0, "action_engine": 0.90, "user": 1.0}
 STOPWORDS = ("the", "a", "an", "is", "are", "was", "were", "to", "of", "in", "on", "at", "and", "or", "for", "with", "by", "from", "it", "that", "this", "as", "be", "has", "have", "had")
 
 
@@ -39,12 +41,14 @@ def possible_contradictions(facts: DataFrame, least: int = 3, share: float = 0.5
     return a.join(b, "node_id").where("a < b and key_a <> key_b").select("a", "b", n.alias("n_common"), needed.alias("needed")).where("n_common >= needed").select("a", "b", "n_common")
 
 
-def faded_confidence(facts: DataFrame, as_of: str, rate: float = 0.9, stale_below: float = 0.4) -> DataFrame:
-    """Overdue dynamic facts lose confidence for each interval they are late; below the limit they are stale."""
-    late = F.datediff(F.to_date(F.lit(as_of)), F.to_date("next_check"))
-    steps = F.greatest(F.lit(1), F.floor(late / F.nullif("recheck_interval_days", F.lit(0))) + 1)
-    due = distinct_facts(facts).where("lifecycle = 'dynamic' and status = 'active'").where((late >= 0) & F.col("recheck_interval_days").isNotNull() & (F.col("recheck_interval_days") > 0))
-    new = F.round(F.col("confidence") * F.pow(F.lit(rate), steps), 6)
+def faded_confidence(facts: DataFrame, as_of: str, rate: float = 0.9, stale_below: float = 0.4, usual_days: int = 90) -> DataFrame:
+    """Overdue dynamic facts lose confidence for each interval they are late; below the limit they are stale. An interval
+    that is missing or not above 0 counts as ``usual_days``."""
+    days = days_between(F.lit(as_of).cast("timestamp"), F.col("next_check"))
+    interval = F.when(F.col("recheck_interval_days") > 0, F.col("recheck_interval_days")).otherwise(usual_days)
+    steps = F.greatest(F.lit(1), F.floor(days / interval) + 1)
+    due = distinct_facts(facts).where("lifecycle = 'dynamic' and status = 'active'").where(days >= 0)
+    new = F.round(F.greatest(F.lit(0.0), F.col("confidence") * F.pow(F.lit(rate), steps)), 4)
     return due.select("id", F.col("confidence").alias("old_confidence"), new.alias("new_confidence"), F.when(new < stale_below, "stale").otherwise("active").alias("new_status"))
 
 

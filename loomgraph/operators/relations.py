@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions import scores as sc
 from loomgraph.operators.lookup import OWNER, distinct_edges, iso_day, live, prop, symmetric
 
 TEMPORAL_TYPES = ("TRIGGERED", "PRECEDED_BY", "EVOLVED_INTO")
@@ -87,3 +88,26 @@ def neighbours_with_due(nodes: DataFrame, edges: DataFrame, node_type: str) -> D
     due = live(nodes).where(F.col("node_type") == "COMMITMENT").select(F.col("id").alias("other_id"), prop("status").alias("status"), iso_day(prop("due_date")).alias("due"))
     own = live(nodes).where(F.col("node_type") == node_type).select(F.col("id").alias("node_id"))
     return symmetric(edges).select("node_id", "other_id").distinct().join(own, "node_id", "left_semi").join(due, "other_id").select(F.col("node_id").alias("id"), F.col("other_id").alias("commitment_id"), "status", "due")
+
+
+def tie_strengths(nodes: DataFrame, edges: DataFrame, as_of: str, node_type: str = "PERSON") -> DataFrame:
+    """(id, source_id, target_id, n_shared, strength) of the edges between live nodes of a type, from weight, confidence,
+    type, recency and the connections that both ends share.
+
+    Shared connections are counted from the end with fewer neighbours: its neighbours are looked up among those of the
+    other end, so a hub is never opened up for each of its ties.
+    """
+    own = live(nodes).where(F.col("node_type") == node_type).select("id")
+    e = distinct_edges(edges).join(own.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(own.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    near = symmetric(edges).select("node_id", "other_id").where("other_id is not null and node_id is not null and node_id <> other_id").distinct()
+    degree = near.groupBy("node_id").agg(F.count("*").alias("n"))
+    pairs = e.where("source_id <> target_id").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
+    sized = pairs.join(degree.select(F.col("node_id").alias("a"), F.col("n").alias("n_a")), "a").join(degree.select(F.col("node_id").alias("b"), F.col("n").alias("n_b")), "b")
+    few = F.col("n_a") <= F.col("n_b")
+    ends = sized.select("a", "b", F.when(few, F.col("a")).otherwise(F.col("b")).alias("few"), F.when(few, F.col("b")).otherwise(F.col("a")).alias("many"))
+    opened = ends.join(near.select(F.col("node_id").alias("few"), "other_id"), "few").where("other_id <> many")
+    shared = opened.join(near.select(F.col("node_id").alias("many"), "other_id"), ["many", "other_id"]).groupBy("a", "b").agg(F.count("*").alias("n_shared"))
+    joined = e.withColumns({"a": F.least("source_id", "target_id"), "b": F.greatest("source_id", "target_id")}).join(shared, ["a", "b"], "left").withColumn("n_shared", F.coalesce("n_shared", F.lit(0)))
+    share = sc.lookup(sc.TIE_SHARES, F.upper("edge_type"), sc.DEFAULT_TIE_SHARE)
+    strength = sc.tie_strength(F.coalesce("weight", F.lit(1.0)), F.coalesce("confidence", F.lit(0.5)), share, sc.recency(F.col("updated_at"), F.lit(as_of).cast("timestamp")), F.col("n_shared"))
+    return joined.select("id", "source_id", "target_id", "n_shared", F.round(strength, 3).alias("strength"))

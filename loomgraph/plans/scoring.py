@@ -9,6 +9,7 @@ from loomgraph.functions import scores as sc
 from loomgraph.operators import facts as fx
 from loomgraph.operators import lookup as lk
 from loomgraph.operators import measures as ms
+from loomgraph.operators import relations as rl
 from loomgraph.operators import temporal as tm
 from loomgraph.plans import relational as r
 from loomgraph.plans.relational import AS_OF, DAY, EDGE, LIVE, SYM, P, t
@@ -28,19 +29,33 @@ def now():
     return F.lit(AS_OF).cast("timestamp")
 
 
-@query("relevance_decay", f"SELECT id, round(exp(-({_CASE.format('networks[1]')}) / (1 + ln(1 + coalesce(access_count, 0))) * greatest(0.0, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(greatest(coalesce(last_accessed, created_at), created_at))) / 86400000000.0)), 6) AS score FROM {LIVE} WHERE id <> '{lk.OWNER}' AND created_at IS NOT NULL")
+_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})?)?$"
+
+
+def _instant(x: str) -> str:
+    return f"CASE WHEN NOT regexp_matches(trim({x}), '{_ISO}') THEN NULL WHEN regexp_matches(trim({x}), '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$') THEN TRY_CAST(trim({x}) AS TIMESTAMPTZ) AT TIME ZONE 'UTC' ELSE TRY_CAST(trim({x}) AS TIMESTAMP) END"
+
+
+_OWN = "CASE node_type " + " ".join(f"WHEN '{k}' THEN {P.format(v)}" for k, v in sc.DATE_FIELDS.items()) + " END"
+_KNOWN = "[" + ", ".join(f"'{n}'" for n in sc.NETWORK_DECAY) + "]"
+_RELEVANCE = f"""CASE WHEN (node_type = 'COMMITMENT' AND lower(st) = 'open') OR (node_type IN ('GOAL', 'PROJECT') AND lower(st) = 'active') OR own > TIMESTAMP '{AS_OF}' THEN 1.0
+ELSE exp(-({_CASE.format('net')}) / (1 + ln(1 + coalesce(access_count, 0))) * greatest(0.0, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(greatest(last_accessed, own, created_at))) / 86400000000.0)) END"""
+
+
+@query("relevance_decay", f"SELECT id, round({_RELEVANCE}, 6) AS score FROM (SELECT *, {P.format('status')} AS st, {_instant(_OWN)} AS own, list_filter(networks, lambda n: list_contains({_KNOWN}, n))[1] AS net FROM {LIVE}) WHERE id <> '{lk.OWNER}' AND created_at IS NOT NULL")
 def relevance_decay(spark, d):
-    anchor = F.greatest(F.coalesce("last_accessed", "created_at"), F.col("created_at"))
-    rate = sc.lookup(sc.NETWORK_DECAY, F.coalesce(F.get("networks", F.lit(0)), F.lit("")), sc.DEFAULT_DECAY)
-    return lk.live(t(spark, d, "nodes")).where((F.col("id") != lk.OWNER) & F.col("created_at").isNotNull()).select("id", F.round(sc.decay(anchor, now(), rate, F.col("access_count")), 6).alias("score"))
+    return lk.live(t(spark, d, "nodes")).where((F.col("id") != lk.OWNER) & F.col("created_at").isNotNull()).select("id", F.round(sc.relevance(now()), 6).alias("score"))
+
+
+_TIE = "CASE upper(edge_type) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in sc.TIE_SHARES.items()) + f" ELSE {sc.DEFAULT_TIE_SHARE} END"
 
 
-@query("tie_strengths", f"WITH p AS (SELECT id FROM {LIVE} WHERE node_type = 'PERSON') SELECT id, round(greatest(0.0, least(1.0, 0.25 * least(coalesce(weight, 0.5), 1.0) + 0.15 * least(coalesce(confidence, 0.5), 1.0) + 0.20 * CASE upper(edge_type) WHEN 'KNOWS' THEN 0.8 WHEN 'REPORTS_TO' THEN 0.9 WHEN 'COLLABORATES_WITH' THEN 1.0 ELSE 0.5 END + 0.25 * coalesce(exp(-0.693 * greatest(0.0, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(updated_at)) / 86400000000.0) / 35.0), 0.0) + 0.15 * ln(1.0 + least(0, 5)) / ln(6.0))), 6) AS strength FROM {EDGE} WHERE source_id IN (SELECT id FROM p) AND target_id IN (SELECT id FROM p)")
+@query("tie_strengths", f"""WITH p AS (SELECT id FROM {LIVE} WHERE node_type = 'PERSON'), near AS (SELECT DISTINCT node_id, other_id FROM {SYM.format('edges')} WHERE node_id <> other_id),
+e AS (SELECT * FROM {EDGE} WHERE source_id IN (SELECT id FROM p) AND target_id IN (SELECT id FROM p)), k AS (SELECT DISTINCT source_id AS a, target_id AS b FROM e WHERE source_id <> target_id),
+s AS (SELECT a, b, count(*) AS n FROM k JOIN near x ON x.node_id = a JOIN near y ON y.node_id = b AND y.other_id = x.other_id GROUP BY 1, 2)
+SELECT id, coalesce(n, 0) AS n_shared, round(greatest(0.0, least(1.0, 0.25 * least(coalesce(weight, 1.0), 1.0) + 0.15 * least(coalesce(confidence, 0.5), 1.0) + 0.20 * {_TIE} + 0.25 * coalesce(exp(-0.693 * greatest(0.0, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(updated_at)) / 86400000000.0) / 35.0), 0.0) + 0.15 * ln(1.0 + least(coalesce(n, 0), 5)) / ln(6.0))), 3) AS strength FROM e LEFT JOIN s ON s.a = source_id AND s.b = target_id""")
 def tie_strengths(spark, d):
-    p = lk.live(t(spark, d, "nodes")).where("node_type = 'PERSON'").select("id")
-    e = lk.distinct_edges(t(spark, d, "edges")).join(p.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(p.select(F.col("id").alias("target_id")), "target_id", "left_semi")
-    share = sc.lookup({"KNOWS": 0.8, "REPORTS_TO": 0.9, "COLLABORATES_WITH": 1.0}, F.upper("edge_type"), 0.5)
-    return e.select("id", F.round(sc.tie_strength(F.coalesce("weight", F.lit(0.5)), F.coalesce("confidence", F.lit(0.5)), share, sc.recency(F.col("updated_at"), now()), F.lit(0)), 6).alias("strength"))
+    return rl.tie_strengths(t(spark, d, "nodes"), t(spark, d, "edges"), AS_OF).select("id", "n_shared", "strength")
 
 
 @query("horizon", f"SELECT id, node_type, CASE WHEN days IS NULL THEN 'undated' WHEN days < 0 THEN 'overdue' WHEN days < 1 THEN 'today' WHEN days < 2 THEN 'tomorrow' WHEN days <= 7 THEN 'week' WHEN days <= 14 THEN 'fortnight' WHEN days <= 30 THEN 'month' ELSE 'later' END AS bucket, round(0.35 * coalesce(1 / (1 + exp(days / 3.0)), 0.3) + 0.65 * (1 - coalesce(decay_score, 0.5)), 6) AS score FROM (SELECT *, date_diff('day', DATE '{AS_OF}', {DAY.format(f'''CASE node_type WHEN 'EVENT' THEN {P.format('event_date')} ELSE {P.format('due_date')} END''')}) AS days FROM {LIVE} WHERE node_type IN ('EVENT', 'COMMITMENT'))")
@@ -58,12 +73,14 @@ def deadlines_near(spark, d):
 
 
 @query("name_scores", f"""WITH p AS (SELECT id, lower(trim(title)) AS x, regexp_split_to_array(lower(trim(title)), '\\s+') AS w FROM {LIVE} WHERE node_type = 'ORGANIZATION' AND title IS NOT NULL)
-SELECT a.id AS a, b.id AS b, round(CASE WHEN a.x = b.x THEN 1.0 WHEN a.w[1] = b.w[1] THEN 0.85 WHEN contains(a.x, b.x) OR contains(b.x, a.x) THEN greatest(0.7, least(length(a.x), length(b.x)) / greatest(length(a.x), length(b.x))) ELSE 0.6 * len(list_intersect(list_distinct(a.w), list_distinct(b.w))) / len(list_distinct(a.w || b.w)) END, 6) AS score FROM p a JOIN p b ON a.w[-1] = b.w[-1] AND a.w[1][1:2] = b.w[1][1:2] AND a.id < b.id""")
+SELECT a.id AS a, b.id AS b, round(CASE WHEN a.x = '' OR b.x = '' THEN 0.0 WHEN a.x = b.x THEN 1.0 WHEN a.w[1] = b.w[1] AND (len(a.w) = 1) <> (len(b.w) = 1) THEN 0.85 WHEN contains(a.x, b.x) OR contains(b.x, a.x) THEN greatest(0.7, least(length(a.x), length(b.x)) / greatest(length(a.x), length(b.x))) ELSE 0.6 * len(list_intersect(list_distinct(a.w), list_distinct(b.w))) / len(list_distinct(a.w || b.w)) END, 6) AS score FROM p a JOIN p b ON (a.w[1] = b.w[1] OR (a.w[-1] = b.w[-1] AND a.w[1][1:2] = b.w[1][1:2])) AND a.id < b.id""")
 def name_scores(spark, d):
+    """Names that begin with one word, or end with one and begin with the same two letters."""
     p = lk.live(t(spark, d, "nodes")).where("node_type = 'ORGANIZATION' and title is not null").withColumn("w", F.split(F.trim(F.lower("title")), r"\s+"))
-    block = F.concat_ws("|", F.element_at("w", -1), F.substring(F.get("w", F.lit(0)), 1, 2))
-    a, b = p.select(F.col("id").alias("a"), F.col("title").alias("x"), block.alias("block")), p.select(F.col("id").alias("b"), F.col("title").alias("y"), block.alias("block"))
-    return a.join(b, "block").where("a < b").select("a", "b", F.round(sc.name_similarity(F.col("x"), F.col("y")), 6).alias("score"))
+    blocks = F.array(F.concat(F.lit("first|"), F.get("w", F.lit(0))), F.concat_ws("|", F.element_at("w", -1), F.substring(F.get("w", F.lit(0)), 1, 2)))
+    side = lambda i, x: p.select(F.col("id").alias(i), F.col("title").alias(x), F.explode(blocks).alias("block"))
+    pairs = side("a", "x").join(side("b", "y"), "block").where("a < b").select("a", "b", "x", "y").distinct()
+    return pairs.select("a", "b", F.round(sc.name_similarity(F.col("x"), F.col("y")), 6).alias("score"))
 
 
 @query("capture_signals", "SELECT id, CASE WHEN length(raw_content) = 0 THEN 'und' WHEN length(regexp_replace(raw_content, '[^\\x00-\\x7F]', '', 'g')) / length(raw_content) > 0.9 THEN 'en' ELSE 'und' END AS language, len(regexp_extract_all(raw_content, '(\\$[0-9][0-9,]*(?:\\.[0-9]+)?)', 1)) AS n_amounts, sha256(raw_content) AS hash FROM captures WHERE raw_content IS NOT NULL")
@@ -159,12 +176,13 @@ def facts_repeated(spark, d):
 _STOP = "[" + ", ".join(f"'{w}'" for w in fx.STOPWORDS) + "]"
 
 
-@query("facts_contradicting", f"WITH w AS (SELECT id, node_id, lower(trim(statement)) AS key, list_filter(list_distinct(list_filter(string_split_regex(lower(statement), '[^a-z0-9]+'), lambda x: length(x) > 1)), lambda x: NOT list_contains({_STOP}, x)) AS ws FROM {FACT} WHERE node_id IS NOT NULL AND statement IS NOT NULL AND status = 'active') SELECT a.id AS a, b.id AS b, len(list_intersect(a.ws, b.ws))::INT AS n_common FROM w a JOIN w b ON a.node_id = b.node_id AND a.id < b.id AND a.key <> b.key WHERE len(list_intersect(a.ws, b.ws)) >= greatest(1.0, 0.2 * least(len(a.ws), len(b.ws)))")
+@query("facts_contradicting", f"WITH w AS (SELECT id, node_id, lower(trim(statement)) AS key, list_filter(list_distinct(list_filter(string_split_regex(lower(statement), '[^a-z0-9]+'), lambda x: length(x) > 1)), lambda x: NOT list_contains({_STOP}, x)) AS ws FROM {FACT} WHERE node_id IS NOT NULL AND statement IS NOT NULL AND status = 'active') SELECT a.id AS a, b.id AS b, len(list_intersect(a.ws, b.ws))::INT AS n_common FROM w a JOIN w b ON a.node_id = b.node_id AND a.id < b.id AND a.key <> b.key WHERE len(list_intersect(a.ws, b.ws)) >= greatest(3.0, 0.5 * least(len(a.ws), len(b.ws)))")
 def facts_contradicting(spark, d):
-    return fx.possible_contradictions(t(spark, d, "verified_facts"), 1, 0.2)
+    return fx.possible_contradictions(t(spark, d, "verified_facts"))
 
 
-@query("facts_faded", f"SELECT id, confidence AS old_confidence, round(confidence * power(0.9, k), 6) AS new_confidence, CASE WHEN round(confidence * power(0.9, k), 6) < 0.4 THEN 'stale' ELSE 'active' END AS new_status FROM (SELECT *, greatest(1, floor(date_diff('day', next_check::DATE, DATE '{AS_OF}') / recheck_interval_days) + 1) AS k FROM {FACT} WHERE lifecycle = 'dynamic' AND status = 'active' AND recheck_interval_days > 0 AND date_diff('day', next_check::DATE, DATE '{AS_OF}') >= 0)")
+@query("facts_faded", f"""SELECT id, confidence AS old_confidence, c AS new_confidence, CASE WHEN c < 0.4 THEN 'stale' ELSE 'active' END AS new_status FROM (SELECT id, confidence, round(greatest(0.0, confidence * power(0.9, greatest(1, floor(days / CASE WHEN recheck_interval_days > 0 THEN recheck_interval_days ELSE 90 END) + 1))), 4) AS c
+FROM (SELECT *, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(next_check)) / 86400000000.0 AS days FROM {FACT} WHERE lifecycle = 'dynamic' AND status = 'active') WHERE days >= 0)""")
 def facts_faded(spark, d):
     return fx.faded_confidence(t(spark, d, "verified_facts"), AS_OF)
 
@@ -174,7 +192,10 @@ def check_history(spark, d):
     return fx.check_history(t(spark, d, "fact_checks"))
 
 
-@query("calibrated_confidence", f"SELECT id, round(greatest(0, least(1, confidence * CASE proposed_by WHEN 'user' THEN 1.0 WHEN 'archivist' THEN 0.85 WHEN 'researcher' THEN 0.9 WHEN 'pipeline_auto' THEN 0.75 ELSE 0.8 END)), 6) AS confidence FROM {LIVE} WHERE confidence IS NOT NULL")
+_SOURCES = "CASE proposed_by " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in fx.SOURCE_WEIGHTS.items()) + " ELSE 0.8 END"
+
+
+@query("calibrated_confidence", f"SELECT id, round(greatest(0, least(1, confidence * {_SOURCES})), 6) AS confidence FROM {LIVE} WHERE confidence IS NOT NULL")
 def calibrated_confidence(spark, d):
     w = sc.lookup(fx.SOURCE_WEIGHTS, F.coalesce("proposed_by", F.lit("")), 0.8)
     return lk.live(t(spark, d, "nodes")).where("confidence is not null").select("id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence") * w)), 6).alias("confidence"))
