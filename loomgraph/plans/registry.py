@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import compositions, core_problems, graphs, knowledge, relational, scoring, streams
+from loomgraph.plans import compositions, core_problems, graphs, knowledge, records, relational, scoring, streams
 
-PARTS = [relational, scoring, graphs, knowledge, streams, compositions, core_problems]
+PARTS = [relational, scoring, graphs, knowledge, records, streams, compositions, core_problems]
 FLAGSHIP = "network_health"
 
 
