@@ -33,9 +33,10 @@ def tiles(vectors: DataFrame, rows: int = 2048) -> DataFrame:
     return good.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), "embedding").mapInArrow(lambda b: _tiles(b, rows), TILE)
 
 
-def search(vectors: DataFrame, queries: DataFrame, top: int, least: float = -1.0, other_label: bool = False) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, top: int, least: float = -1.0, other_label: bool = False, older_of_label: bool = False) -> DataFrame:
     """(query_id, query_label, id, label, score): the ``top`` nearest rows of each query by cosine, itself left out.
 
+    ``other_label`` takes rows of other labels only, ``older_of_label`` those of the query's label with a lower id.
     Exact: queries and rows are cut into tiles, each pair of tiles is one matrix product, and only the best of a tile
     leave it. Tiles meet, not rows, and no side is broadcast.
     """
@@ -52,6 +53,8 @@ def search(vectors: DataFrame, queries: DataFrame, top: int, least: float = -1.0
                 ql, l = np.array([-1 if v is None else v for v in r["q_labels"]]), np.array([-1 if v is None else v for v in r["labels"]])
                 if other_label:
                     s[ql[:, None] == l[None, :]] = -2.0
+                if older_of_label:
+                    s[(ql[:, None] != l[None, :]) | (ids[None, :] >= qids[:, None])] = -2.0
                 k = min(top, len(ids))
                 # ties at the border are kept whole here and broken by id afterwards
                 border = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scores as sc
 from loomgraph.operators import facts as fx
+from loomgraph.operators import horizon as hz
 from loomgraph.operators import lookup as lk
 from loomgraph.operators import measures as ms
 from loomgraph.operators import relations as rl
@@ -58,12 +59,44 @@ def tie_strengths(spark, d):
     return rl.tie_strengths(t(spark, d, "nodes"), t(spark, d, "edges"), AS_OF).select("id", "n_shared", "strength")
 
 
-@query("horizon", f"SELECT id, node_type, CASE WHEN days IS NULL THEN 'undated' WHEN days < 0 THEN 'overdue' WHEN days < 1 THEN 'today' WHEN days < 2 THEN 'tomorrow' WHEN days <= 7 THEN 'week' WHEN days <= 14 THEN 'fortnight' WHEN days <= 30 THEN 'month' ELSE 'later' END AS bucket, round(0.35 * coalesce(1 / (1 + exp(days / 3.0)), 0.3) + 0.65 * (1 - coalesce(decay_score, 0.5)), 6) AS score FROM (SELECT *, date_diff('day', DATE '{AS_OF}', {DAY.format(f'''CASE node_type WHEN 'EVENT' THEN {P.format('event_date')} ELSE {P.format('due_date')} END''')}) AS days FROM {LIVE} WHERE node_type IN ('EVENT', 'COMMITMENT'))")
+_DATED = "CASE node_type " + " ".join(f"WHEN '{k}' THEN {P.format(v)}" for k, v in sc.DATE_FIELDS.items() if k in hz.OPEN_STATUSES) + " END"
+_HEALTH = r.SQL["network_health"]
+ITEMS = f"""items AS MATERIALIZED (SELECT *, (epoch_us(due_at) - epoch_us(TIMESTAMP '{AS_OF}')) / 86400000000.0 AS lft, trunc((epoch_us(due_at) - epoch_us(TIMESTAMP '{AS_OF}')) / 86400000000.0)::BIGINT AS days FROM (SELECT *, {_instant(_DATED)} AS due_at FROM {LIVE}
+WHERE (node_type = 'COMMITMENT' AND {P.format('status')} IN ('open', 'overdue')) OR (node_type IN ('GOAL', 'PROJECT') AND {P.format('status')} = 'active') OR node_type IN ('EVENT', 'DECISION'))),
+health AS MATERIALIZED (SELECT network, status FROM ({_HEALTH}) WHERE snapshot = TIMESTAMP '{AS_OF}'), up AS MATERIALIZED (SELECT source_id AS child, min(target_id) AS parent FROM edges WHERE upper(edge_type) = 'SUBTASK_OF' AND source_id IS NOT NULL AND target_id IS NOT NULL GROUP BY 1),
+way AS (SELECT id, id AS pos, [id] AS seen, 0 AS depth, false AS done FROM items UNION ALL SELECT w.id, u.parent, list_append(w.seen, u.parent), w.depth + 1, list_contains(w.seen, u.parent) FROM way w JOIN up u ON u.child = w.pos WHERE w.depth < 5 AND NOT w.done), deep AS (SELECT id, max(depth) AS depth FROM way GROUP BY id),
+waits AS (SELECT target_id AS id, count(DISTINCT id) AS n FROM edges WHERE upper(edge_type) = 'SUBTASK_OF' GROUP BY 1), worst AS (SELECT i.id, max(CASE h.status WHEN 'falling_behind' THEN 1.0 WHEN 'needs_attention' THEN 0.6 ELSE 0.2 END) AS worst FROM (SELECT id, unnest(networks) AS network FROM items) i LEFT JOIN health h USING (network) GROUP BY 1),
+scored AS (SELECT i.id, i.node_type, i.networks, i.days, CASE WHEN days IS NULL THEN 'undated' WHEN lft < 0 THEN 'overdue' WHEN days = 0 THEN 'today' WHEN days = 1 THEN 'tomorrow' WHEN days <= 7 THEN 'this_week' WHEN days <= 14 THEN 'next_week' WHEN days <= 30 THEN 'this_month' ELSE 'later' END AS bucket,
+ 0.35 * coalesce(1 / (1 + exp(days / 3.0)), 0.3) + 0.15 * CASE WHEN waits.n > 0 THEN ln(1 + waits.n) / ln(11) ELSE 0 END + 0.20 * coalesce(worst, 0.2) + 0.10 * (1 - coalesce(decay_score, 1.0)) + 0.20 * least(depth * 0.2, 1.0) AS priority FROM items i LEFT JOIN waits USING (id) LEFT JOIN worst USING (id) LEFT JOIN deep USING (id))"""
+
+
+@query("horizon", f"WITH RECURSIVE {ITEMS} SELECT id, node_type, bucket, round(priority, 6) AS priority FROM scored")
 def horizon(spark, d):
-    day = lk.iso_day(F.when(F.col("node_type") == "EVENT", lk.prop("event_date")).otherwise(lk.prop("due_date")))
-    left = F.datediff(day, F.to_date(F.lit(AS_OF)))
-    n = lk.live(t(spark, d, "nodes")).where("node_type in ('EVENT', 'COMMITMENT')").withColumn("days", left)
-    return n.select("id", "node_type", sc.due_bucket(F.col("days")).alias("bucket"), F.round(0.35 * sc.urgency(F.col("days")) + 0.65 * (1 - F.coalesce("decay_score", F.lit(0.5))), 6).alias("score"))
+    return hz.scored(t(spark, d, "nodes"), t(spark, d, "edges"), AS_OF).select("id", "node_type", "bucket", F.round("priority", 6).alias("priority"))
+
+
+@query("horizon_load", f"WITH RECURSIVE {ITEMS} SELECT network, count(*) AS n_items, count(*) FILTER (bucket = 'overdue') AS n_overdue FROM (SELECT unnest(networks) AS network, bucket FROM scored) GROUP BY 1")
+def horizon_load(spark, d):
+    return hz.network_load(hz.scored(t(spark, d, "nodes"), t(spark, d, "edges"), AS_OF))
+
+
+@query("blocked_items", f"SELECT DISTINCT e.target_id AS id, e.source_id AS blocked_id FROM edges e JOIN {LIVE} g ON g.id = e.target_id AND g.node_type IN ('GOAL', 'PROJECT', 'COMMITMENT') JOIN {LIVE} c ON c.id = e.source_id WHERE upper(e.edge_type) = 'SUBTASK_OF'")
+def blocked_items(spark, d):
+    ids = lk.live(t(spark, d, "nodes")).where("node_type in ('GOAL', 'PROJECT', 'COMMITMENT')").select("id")
+    return hz.blocked_by(ids, t(spark, d, "edges"), t(spark, d, "nodes"))
+
+
+@query("impact_previews", f"WITH RECURSIVE {ITEMS}, b AS (SELECT target_id AS id, count(DISTINCT source_id) AS n FROM edges WHERE upper(edge_type) = 'SUBTASK_OF' AND source_id IN (SELECT id FROM {LIVE}) GROUP BY 1), s AS (SELECT id, max(CASE status WHEN 'falling_behind' THEN 2 WHEN 'needs_attention' THEN 1 ELSE 0 END) AS k FROM (SELECT id, unnest(networks) AS network FROM items) JOIN health USING (network) GROUP BY 1) SELECT id, coalesce(b.n, 0) AS n_unblocked, CASE s.k WHEN 2 THEN 'falling_behind' WHEN 1 THEN 'needs_attention' WHEN 0 THEN 'on_track' END AS worst_status FROM items LEFT JOIN b USING (id) LEFT JOIN s USING (id) WHERE node_type IN ('COMMITMENT', 'GOAL')")
+def impact_previews(spark, d):
+    return hz.impact(t(spark, d, "nodes"), t(spark, d, "edges"), AS_OF)
+
+
+@query("question_answers", f"""WITH o AS (SELECT id AS other_id, node_type AS k, coalesce({P.format('status')}, {P.format('progress')}, {P.format('state')}, {P.format('phase')}) IS NOT NULL AS told, lower(concat_ws(' ', title, coalesce(content, ''))) AS x FROM {LIVE})
+SELECT focus_id, id, round(max(s), 6) AS score FROM (SELECT e.node_id AS focus_id, o.other_id AS id, CASE WHEN k = 'COMMITMENT' THEN 0.4 ELSE 0 END + CASE WHEN upper(e.edge_type) = 'COMMITTED_TO' THEN 0.3 ELSE 0 END + CASE WHEN told THEN 0.5 ELSE 0 END + 0.2 * least(contains(x, 'commitments')::INT + contains(x, 'status')::INT, 3) AS s FROM {SYM.format('edges')} e JOIN o ON o.other_id = e.other_id WHERE e.node_id IN (SELECT id FROM {LIVE} WHERE node_type = 'PERSON')) WHERE s > 0 GROUP BY 1, 2""")
+def question_answers(spark, d):
+    """What stands next to each person, for a question about the status of their commitments."""
+    people = lk.live(t(spark, d, "nodes")).where("node_type = 'PERSON'").select("id")
+    return hz.answers(people, t(spark, d, "nodes"), t(spark, d, "edges"), ("commitments", "status"), ("COMMITMENT",), ("COMMITTED_TO",), True).select("focus_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("deadlines_near", f"SELECT id, CASE WHEN days <= 1 THEN 1 WHEN days <= 3 THEN 3 WHEN days <= 7 THEN 7 END AS within_days FROM (SELECT id, date_diff('day', DATE '{AS_OF}', {DAY.format(P.format('due_date'))}) AS days FROM {LIVE} WHERE node_type = 'COMMITMENT' AND {P.format('status')} = 'open') WHERE days BETWEEN 0 AND 7")
