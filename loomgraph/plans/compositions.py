@@ -94,7 +94,7 @@ def mutual_connections(spark, d):
     return shared_neighbours(t(spark, d, "edges"), two).select("id")
 
 
-@query("embedding_texts", f"SELECT id, length(title) + coalesce(length(nullif(content, '')), 0) AS n FROM {LIVE} WHERE title IS NOT NULL AND properties IS NULL")
+@query("embedding_texts")
 def embedding_texts(spark, d):
     return vw.embedding_text(t(spark, d, "nodes"))
 

@@ -112,8 +112,8 @@ def community_profile(spark, d):
 
 
 @query("predicted_links", f"""WITH near AS MATERIALIZED (SELECT id, nbr FROM {NEAR}), deg AS (SELECT id, count(*) AS k FROM near GROUP BY id),
-p AS (SELECT x.id AS a, y.id AS b, count(*) AS n_common, sum(CASE WHEN m.k > 1 THEN 1 / ln(m.k) END) AS adamic FROM near x JOIN near y ON x.nbr = y.nbr AND x.id < y.id JOIN deg m ON m.id = x.nbr WHERE x.nbr <> '{lk.OWNER}' GROUP BY 1, 2)
-SELECT p.a, p.b, n_common, round(0.6 * coalesce(adamic, 0) + 0.4 * n_common / greatest(sqrt(da.k::DOUBLE * db.k), 1.0), 6) AS score FROM p JOIN deg da ON da.id = p.a JOIN deg db ON db.id = p.b WHERE n_common >= 2 AND NOT EXISTS (SELECT 1 FROM {LINKS} l WHERE l.a = p.a AND l.b = p.b)""")
+p AS (SELECT x.id AS a, y.id AS b, count(*) AS n_common, sum(CASE WHEN m.k > 1 THEN 1 / ln(m.k) END) AS adamic FROM near x JOIN near y ON x.nbr = y.nbr AND x.id < y.id JOIN deg m ON m.id = x.nbr GROUP BY 1, 2)
+SELECT p.a, p.b, n_common, round(0.6 * coalesce(adamic, 0) + 0.4 * n_common / greatest(sqrt(da.k::DOUBLE * db.k), 1.0), 6) AS score FROM p JOIN deg da ON da.id = p.a JOIN deg db ON db.id = p.b WHERE NOT EXISTS (SELECT 1 FROM {LINKS} l WHERE l.a = p.a AND l.b = p.b)""")
 def predicted_links(spark, d):
     return g.link_scores(links(spark, d))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import compositions, core_problems, graphs, knowledge, records, relational, resolution, scoring, streams
+from loomgraph.plans import briefing, compositions, core_problems, graphs, knowledge, records, relational, resolution, scoring, streams
 
-PARTS = [relational, scoring, graphs, knowledge, records, resolution, streams, compositions, core_problems]
+PARTS = [relational, scoring, graphs, knowledge, records, resolution, streams, compositions, briefing, core_problems]
 FLAGSHIP = "network_health"
 
 

@@ -35,9 +35,15 @@ def seeds(spark: SparkSession, d: str, node_type: str = "PERSON", n: int = 5) ->
     return lk.live(t(spark, d, "nodes")).where(F.col("node_type") == node_type).orderBy("id").limit(n).select("id")
 
 
+def all_of(spark: SparkSession, d: str, node_type: str) -> DataFrame:
+    """All live nodes of a type."""
+    return lk.live(t(spark, d, "nodes")).where(F.col("node_type") == node_type).select("id")
+
+
 LIVE = "(SELECT * FROM nodes WHERE NOT coalesce(deleted, false))"
 EDGE = "(SELECT DISTINCT ON (id) * FROM edges)"
 SEEDS = "(SELECT id FROM nodes WHERE NOT coalesce(deleted, false) AND node_type = '{0}' ORDER BY id LIMIT {1})"
+ALL = "(SELECT id FROM nodes WHERE NOT coalesce(deleted, false) AND node_type = '{0}')"
 SYM = "(SELECT *, source_id AS node_id, target_id AS other_id, 'outgoing' AS direction FROM {0} UNION ALL SELECT *, target_id, source_id, 'incoming' FROM {0})"
 DAY = "try_strptime(nullif(regexp_extract({0}, '^\\s*(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), ''), '%Y-%m-%d')::DATE"
 P = "json_extract_string(properties, '$.{0}')"
@@ -176,19 +182,19 @@ def isolated_concepts(spark, d):
     return rl.without_neighbour(t(spark, d, "nodes"), t(spark, d, "edges"), "CONCEPT", ("EVENT", "PROJECT", "COMMITMENT")).select("id")
 
 
-@query("person_edges", f"SELECT s.node_id AS seed_id, s.id AS edge_id, upper(s.edge_type) AS edge_type, s.direction, o.id AS other_id, o.node_type AS other_type FROM {SYM.format(EDGE)} s JOIN {LIVE} o ON o.id = s.other_id WHERE s.node_id IN {SEEDS.format('PERSON', 5)}")
+@query("person_edges", f"SELECT s.node_id AS seed_id, s.id AS edge_id, upper(s.edge_type) AS edge_type, s.direction, o.id AS other_id, o.node_type AS other_type FROM {SYM.format(EDGE)} s JOIN {LIVE} o ON o.id = s.other_id WHERE s.node_id IN {ALL.format('PERSON')}")
 def person_edges(spark, d):
-    return rl.neighbours(seeds(spark, d), t(spark, d, "edges"), t(spark, d, "nodes")).select("seed_id", "edge_id", "edge_type", "direction", "other_id", "other_type")
+    return rl.neighbours(all_of(spark, d, "PERSON"), t(spark, d, "edges"), t(spark, d, "nodes")).select("seed_id", "edge_id", "edge_type", "direction", "other_id", "other_type")
 
 
-@query("temporal_neighbours", f"SELECT s.node_id AS seed_id, s.id AS edge_id, upper(s.edge_type) AS edge_type, s.direction, o.id AS other_id FROM {SYM.format(EDGE)} s JOIN {LIVE} o ON o.id = s.other_id WHERE upper(s.edge_type) IN ('TRIGGERED', 'PRECEDED_BY', 'EVOLVED_INTO') AND s.node_id IN {SEEDS.format('EVENT', 200)}")
+@query("temporal_neighbours", f"SELECT s.node_id AS seed_id, s.id AS edge_id, upper(s.edge_type) AS edge_type, s.direction, o.id AS other_id FROM {SYM.format(EDGE)} s JOIN {LIVE} o ON o.id = s.other_id WHERE upper(s.edge_type) IN ('TRIGGERED', 'PRECEDED_BY', 'EVOLVED_INTO') AND s.node_id IN {ALL.format('EVENT')}")
 def temporal_neighbours(spark, d):
-    return rl.neighbours(seeds(spark, d, "EVENT", 200), t(spark, d, "edges"), t(spark, d, "nodes"), rl.TEMPORAL_TYPES).select("seed_id", "edge_id", "edge_type", "direction", "other_id")
+    return rl.neighbours(all_of(spark, d, "EVENT"), t(spark, d, "edges"), t(spark, d, "nodes"), rl.TEMPORAL_TYPES).select("seed_id", "edge_id", "edge_type", "direction", "other_id")
 
 
-@query("causes_backward", f"SELECT s.target_id AS seed_id, s.id AS edge_id, o.id AS other_id FROM {EDGE} s JOIN {LIVE} o ON o.id = s.source_id WHERE upper(s.edge_type) = 'TRIGGERED' AND s.target_id IN {SEEDS.format('EVENT', 200)}")
+@query("causes_backward", f"SELECT s.target_id AS seed_id, s.id AS edge_id, o.id AS other_id FROM {EDGE} s JOIN {LIVE} o ON o.id = s.source_id WHERE upper(s.edge_type) = 'TRIGGERED' AND s.target_id IN {ALL.format('EVENT')}")
 def causes_backward(spark, d):
-    return rl.neighbours(seeds(spark, d, "EVENT", 200), t(spark, d, "edges"), t(spark, d, "nodes"), ("TRIGGERED",), "incoming").select("seed_id", "edge_id", "other_id")
+    return rl.neighbours(all_of(spark, d, "EVENT"), t(spark, d, "edges"), t(spark, d, "nodes"), ("TRIGGERED",), "incoming").select("seed_id", "edge_id", "other_id")
 
 
 @query("strongest_ties", f"SELECT e.source_id, e.target_id, max(e.weight) AS weight, max(e.confidence) AS confidence FROM edges e JOIN {LIVE} a ON a.id = e.source_id AND a.node_type = 'PERSON' JOIN {LIVE} b ON b.id = e.target_id AND b.node_type = 'PERSON' GROUP BY 1, 2 ORDER BY weight DESC NULLS LAST, confidence DESC NULLS LAST, source_id, target_id LIMIT 25")
@@ -290,9 +296,9 @@ def people_statistics(spark, d):
     return ms.people_stats(t(spark, d, "nodes"), t(spark, d, "edges"), AS_OF).groupBy("band").agg(F.count("*").alias("n"), F.round(F.avg("degree"), 6).alias("mean_degree"), F.count_if(F.col("degree") == 0).alias("n_disconnected"))
 
 
-@query("edge_type_summary", f"SELECT node_id AS id, upper(edge_type) AS edge_type, direction, count(*) AS n FROM {SYM.format(EDGE)} WHERE node_id IN {SEEDS.format('PERSON', 20)} GROUP BY ALL")
+@query("edge_type_summary", f"SELECT node_id AS id, upper(edge_type) AS edge_type, direction, count(*) AS n FROM {SYM.format(EDGE)} WHERE node_id IN {ALL.format('PERSON')} GROUP BY ALL")
 def edge_type_summary(spark, d):
-    both = lk.symmetric(lk.distinct_edges(t(spark, d, "edges"))).join(seeds(spark, d, "PERSON", 20).select(F.col("id").alias("node_id")), "node_id", "left_semi")
+    both = lk.symmetric(lk.distinct_edges(t(spark, d, "edges"))).join(all_of(spark, d, "PERSON").select(F.col("id").alias("node_id")), "node_id", "left_semi")
     return both.groupBy(F.col("node_id").alias("id"), F.upper("edge_type").alias("edge_type"), "direction").agg(F.count("*").alias("n"))
 
 
