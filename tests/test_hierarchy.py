@@ -62,11 +62,16 @@ def _ring(parent, n):
     return seen[seen.index(x) :] if x in seen else []
 
 
-def test_large_components_give_the_same_rows(spark):
-    parent = tree(random.Random(7), 90, 2)
+@pytest.mark.parametrize("with_paths", [True, False])
+def test_the_limit_of_a_task_changes_no_row(spark, with_paths):
+    """Trees, chains, stars and cycles with trees on them: the same rows whether a component is traversed or doubled."""
+    parent = tree(random.Random(7), 90, 2) | {f"s{i}": "star" for i in range(40)} | {f"c{i:02d}": f"c{(i + 1) % 9:02d}" for i in range(9)} | {"c_leaf": "c04", "c_deep": "c_leaf", "self": "self"}
     e = edges(spark, parent, random.Random(1))
     rows = lambda df: {r.node_id: (r.root_id, r.depth, r.path, r.n_descendants, r.in_cycle, r.back_edge_to) for r in df.collect()}
-    assert rows(h.hierarchy(e)) == rows(h.hierarchy(e, max_component=4))
+    want = rows(h.hierarchy(e, with_paths=with_paths))
+    for limit in (2, 30):
+        assert rows(h.hierarchy(e, max_component=limit, with_paths=with_paths)) == want
+    assert (want["star"][2] is None) == (not with_paths) and want["star"][3] == 40 and want["c_deep"][3] == 0
 
 
 def test_descendants(spark):
