@@ -5,8 +5,10 @@ sorted and hashed, records are grouped by their root digest, and a group is conf
 forms. A capture is a record of named fields and a body, whether it was typed, rendered as ``Field: value`` lines before
 a body, or written as a JSON object whose member ``text`` is the body; JSON may be nested to any depth.
 
-Scale: one linear pass makes digests; groups are counted with partial aggregation, so a group that holds a third of all
-rows meets nowhere; only members of groups of two or more are read again for the comparison. No pairs are made.
+Scale: one linear pass makes digests; groups are counted with partial aggregation; only members of groups of two or more
+are read again for the comparison. Members find their group's row by a join in which the most frequent groups, at most
+HOT of them, are kept apart against a broadcast of as many rows, so that a group with a third of all rows stays spread
+over all tasks. No pairs are made.
 
 Defined cases: a null text or title is no record and has no copies; texts without any letter or digit are copies of each
 other; broken JSON is plain text; the same field stated twice with two values counts twice; ties for keep_id cannot
@@ -25,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.runtime import ship_package, write_stage
+from loomgraph.runtime import ship_package, split_hot_join, write_stage
 
 # The field names that the connectors render before a body.
 FIELD_NAMES = frozenset(["note", "date", "category", "type", "tags", "linksto", "calendarevent", "end", "location", "participants", "attendees", "details", "recurrence"])
 BODY_MEMBER = "text"
 LEFT_OUT = ("PERSON", "ORGANIZATION")
+#: Groups of at least HOT_ROWS rows, HOT at most, are joined apart.
+HOT, HOT_ROWS = 64, 1000
 _KEEP = re.compile(r"[^\W_]+")
 
 
@@ -126,16 +130,23 @@ def copies(captures: DataFrame, nodes: DataFrame) -> DataFrame:
     digests = texts.select(F.lit("captures").alias("table_name"), "id", capture_digest_udf("raw_content").alias("digest")).unionByName(
         kept_nodes.select(F.lit("nodes").alias("table_name"), "id", F.unhex(F.md5(node_form(F.col("node_type"), F.col("title")))).alias("digest"))
     )
-    rows = write_stage(digests, "merkle-digests").df
-    several = rows.groupBy("table_name", "digest").agg(F.count("*").alias("n")).where("n > 1")
-    members = rows.join(several.select("table_name", "digest"), ["table_name", "digest"])
+    rows = write_stage(digests.withColumn("key", F.concat_ws(":", "table_name", F.hex("digest"))), "merkle-digests").df
+    several = write_stage(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "merkle-groups").df
+    members = split_hot_join(rows, several.select("key"), "key", frequent(several), "inner")
     of = lambda name: members.where(F.col("table_name") == name)
     full = (
         of("captures").join(texts.select("id", "raw_content"), "id").select("table_name", "id", "digest", capture_canonical_udf("raw_content").alias("form"))
     ).unionByName(of("nodes").join(kept_nodes.select("id", "node_type", "title"), "id").select("table_name", "id", "digest", node_form(F.col("node_type"), F.col("title")).alias("form")))
-    full = write_stage(full.distinct(), "merkle-forms").df
-    groups = full.groupBy("table_name", "digest", "form").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
-    return full.join(groups, ["table_name", "digest", "form"]).select("table_name", "id", "keep_id", "n")
+    # from here on a group has a key of its digest and its whole form; the groups themselves are told apart by the forms
+    key = F.concat_ws(":", "table_name", F.hex("digest"), F.hex(F.xxhash64("form")))
+    full = write_stage(full.distinct().withColumn("key", key), "merkle-forms").df
+    groups = full.groupBy("key", "form").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
+    groups = write_stage(groups.select("key", "keep_id", "n"), "merkle-kept").df
+    return split_hot_join(full.select("table_name", "id", "key"), groups, "key", frequent(groups), "inner").select("table_name", "id", "keep_id", "n")
+
+
+def frequent(groups: DataFrame) -> list[str]:
+    return [r["key"] for r in groups.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), "key").limit(HOT).select("key").collect()]
 
 
 def found(captures: DataFrame, nodes: DataFrame) -> DataFrame:

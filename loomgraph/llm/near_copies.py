@@ -8,17 +8,21 @@ to all anchors that could also hold a partner, fingerprints are compared per anc
   with d = (|A|+|B|)(1-t)/(1+t) a pair further apart than d is no pair: the comparison loses nothing. Pairs that met at
   an anchor are compared once more by 256 other parity bits, before any set moves.
 * Anchors: a covering code over bit vectors does not serve here. At t = 0.7 two linked texts of 60 sequences may differ
-  in 21 of them, and a radius of 21 around a code word of 64 bits takes in nearly all code words (a 23 bit code of
-  radius 3 gives 71 anchors a text and finds 53 % of the pairs at t). The anchors are therefore the rarest members of
-  the set: ordered by how often they occur in the corpus, any two linked sets share a member among the first
-  |A| - ceil(t|A|) + 1 of each. That covers every pair at the threshold, with certainty.
-* Occurrence counts come from a sketch over the whole corpus with a fixed number of counters. Counts that collide only
-  change the order, and any order that is the same everywhere is exact.
+  in 21 of them, and a radius of 21 around a code word of 64 bits takes in nearly all code words. With one-bit min-hashes
+  (agreement 0.85 a bit at the threshold) and the perfect code of 23 bits and radius 3, a text goes to the 71 anchors
+  within 3 + 3, 99.95 % of the linked pairs meet, and so do 45 % of all pairs of texts: the comparison stays quadratic.
+  The anchors are therefore the rarest members of the set: ordered by how often they occur in the corpus, any two linked
+  sets share a member among the first |A| - ceil(t|A|) + 1 of each. That covers every pair at the threshold, with
+  certainty.
+* Occurrence counts come from a sketch over the whole corpus whose counters grow with the number of members, up to
+  MOST_COUNTERS; the logarithms of the counts are broadcast, a byte each. Counts that collide only change the order, and
+  any order that is the same everywhere is exact.
 * Verification: exact intersection of the sets.
 
 Scale: texts with the same words are one class, deduplicated per partition before anchors are shuffled, so a class with
-a third of all rows sends as many rows as there are partitions. Anchors are rare by construction. Result pairs are
-expanded to members at the end.
+a third of all rows sends as many rows as there are partitions. Anchors are rare by construction, and members are hashes
+of 64 bits, so that unrelated texts don't meet at any size of the corpus. Links hold between classes; ``near_copies``
+expands them to pairs of members, ``link_counts`` gives one row for each text instead.
 
 Defined cases: null, empty and short texts (below ``min_words``) have no partners; texts with the same letters and
 digits are copies, not near copies; captures that are copies under ``merkle`` are left out; ties cannot occur, ids are
@@ -38,11 +42,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.merkle import capture_digest
-from loomgraph.runtime import ship_package, write_stage
+from loomgraph.llm.merkle import capture_digest, frequent
+from loomgraph.runtime import ship_package, split_hot_join, write_stage
 
 SHINGLE, THRESHOLD_NUM, THRESHOLD_DEN, MIN_WORDS = 3, 7, 10, 30
-COUNTERS, SLICES, WIDE = 1 << 20, 16, 4
+COUNTERS, MOST_COUNTERS, SLICES, WIDE = 1 << 20, 1 << 26, 16, 4
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], dtype=np.uint64)
 
@@ -56,7 +60,7 @@ PRINT_SCHEMA = T.StructType(
         T.StructField("copy_key", T.BinaryType()),
         T.StructField("first", T.BooleanType()),
         T.StructField("n", T.IntegerType()),
-        T.StructField("sig", T.ArrayType(T.IntegerType())),
+        T.StructField("sig", T.ArrayType(T.LongType())),
         T.StructField("fp", T.LongType()),
         T.StructField("wide", T.ArrayType(T.LongType())),
     ]
@@ -68,7 +72,7 @@ def words_of(text: str) -> list[str]:
 
 
 class ShingleHasher:
-    """32-bit hashes of the distinct word sequences of a text, sorted. The cache of words is bounded."""
+    """64-bit hashes of the distinct word sequences of a text, sorted. The cache of words is bounded."""
 
     def __init__(self, k: int = SHINGLE):
         self.k, self.cache = k, {}
@@ -87,11 +91,11 @@ class ShingleHasher:
             h = (h ^ (h >> np.uint64(29))) * _MIX[3] + w[j : m + j] * _MIX[j % 5]
         h ^= h >> np.uint64(32)
         h *= _MIX[4]
-        return np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+        return np.unique(h ^ (h >> np.uint64(29))).view(np.int64)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, min_words: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("table_name", pa.string()), ("id", pa.string()), ("words_key", pa.binary()), ("ref", pa.int64()), ("letters_key", pa.int64()), ("copy_key", pa.binary()), ("first", pa.bool_()), ("n", pa.int32()), ("sig", pa.list_(pa.int32())), ("fp", pa.int64()), ("wide", pa.list_(pa.int64()))])
+    schema = pa.schema([("table_name", pa.string()), ("id", pa.string()), ("words_key", pa.binary()), ("ref", pa.int64()), ("letters_key", pa.int64()), ("copy_key", pa.binary()), ("first", pa.bool_()), ("n", pa.int32()), ("sig", pa.list_(pa.int64())), ("fp", pa.int64()), ("wide", pa.list_(pa.int64()))])
     hasher, seen = ShingleHasher(k), set()
     for b in batches:
         cols: list[list] = [[] for _ in schema]
@@ -106,8 +110,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, min_words: int) ->
                 seen.clear()
             seen.add(ref)
             sig = hasher(words)
-            bits = np.packbits((np.bincount(sig & 63, minlength=64) & 1).astype(np.uint8))
-            wide = np.packbits((np.bincount((sig >> 6) & (64 * WIDE - 1), minlength=64 * WIDE) & 1).astype(np.uint8)).view(np.int64)
+            bits = np.packbits((np.bincount((sig >> 8) & 63, minlength=64) & 1).astype(np.uint8))
+            wide = np.packbits((np.bincount((sig >> 14) & (64 * WIDE - 1), minlength=64 * WIDE) & 1).astype(np.uint8)).view(np.int64)
             row = (name, i, key, ref, xxhash.xxh64_intdigest("".join(words)) - (1 << 63), capture_digest(text) if name == "captures" else None, fresh, len(sig), sig, int(bits.view(np.int64)[0]), wide)
             for c, v in zip(cols, row, strict=True):
                 c.append(v)
@@ -120,34 +124,41 @@ def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return sig.flatten().to_numpy(zero_copy_only=False), np.diff(sig.offsets.to_numpy())
 
 
-def _bucket(members: np.ndarray) -> np.ndarray:
-    return members.view(np.uint32) & np.uint32(COUNTERS - 1)
+def _bucket(members: np.ndarray, counters: int) -> np.ndarray:
+    return (members.view(np.uint64) >> np.uint64(24)) & np.uint64(counters - 1)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, dtype=np.int64)
+def _count(batches: Iterator[pa.RecordBatch], counters: int) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(counters, dtype=np.uint32)
     for b in batches:
         members, _ = _flat(b)
         if len(members):
-            total += np.bincount(_bucket(members), minlength=COUNTERS)
+            total += np.bincount(_bucket(members, counters).astype(np.int64), minlength=counters).astype(np.uint32)
     if total.any():
-        slices = [s.astype(np.uint32).tobytes() for s in np.split(total, SLICES)]
+        slices = [s.tobytes() for s in np.split(total, SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([pa.compress(s, "zstd", asbytes=True) for s in slices], pa.binary())], names=["slice", "counts"])
 
 
-def _add(key: tuple, t: pa.Table) -> pa.Table:
-    total = np.zeros(COUNTERS // SLICES, dtype=np.int64)
+def _add(key: tuple, t: pa.Table, counters: int) -> pa.Table:
+    """Logarithms of the summed counts, a byte each: eight steps to a doubling."""
+    total = np.zeros(counters // SLICES, dtype=np.int64)
     for c in t.column("counts").to_pylist():
         total += np.frombuffer(pa.decompress(c, decompressed_size=4 * len(total), codec="zstd", asbytes=True), dtype=np.uint32)
-    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+    small = np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8)
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([small.tobytes()], pa.binary())})
 
 
-def corpus_counts(prints: DataFrame) -> np.ndarray:
-    """How often each counter's members occur in all texts: COUNTERS numbers, whatever the size of the corpus."""
-    parts = prints.select("sig").mapInArrow(_count, "slice int, counts binary").groupBy("slice").applyInArrow(_add, "slice int, counts binary").collect()
-    out = np.zeros((SLICES, COUNTERS // SLICES), dtype=np.uint32)
+def counters_for(n_members: int) -> int:
+    """A power of two, about an eighth of the members, between COUNTERS and MOST_COUNTERS."""
+    return min(max(COUNTERS, 1 << max(n_members // 8, 1).bit_length()), MOST_COUNTERS)
+
+
+def corpus_counts(prints: DataFrame, counters: int) -> np.ndarray:
+    """How often each counter's members occur in all texts, as logarithms: MOST_COUNTERS bytes at most."""
+    parts = prints.select("sig").mapInArrow(lambda b: _count(b, counters), "slice int, counts binary").groupBy("slice").applyInArrow(lambda k, t: _add(k, t, counters), "slice int, counts binary").collect()
+    out = np.zeros((SLICES, counters // SLICES), dtype=np.uint8)
     for r in parts:
-        out[r["slice"]] = np.frombuffer(r["counts"], dtype=np.uint32)
+        out[r["slice"]] = np.frombuffer(r["counts"], dtype=np.uint8)
     return out.reshape(-1)
 
 
@@ -162,27 +173,28 @@ def _anchors(batches: Iterator[pa.RecordBatch], counts, num: int, den: int) -> I
         if not len(members):
             continue
         doc = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((members, table[_bucket(members)], doc))
+        order = np.lexsort((members, table[_bucket(members, len(table))], doc))
         start = np.repeat(np.cumsum(n) - n, n)
         keep = (np.arange(len(members)) - start) < np.repeat(prefix_length(n, num, den), n)
         chosen = order[keep]
         owner = doc[chosen]
-        salt = np.array([xxhash.xxh32_intdigest(x) for x in b.column("table_name").to_pylist()], dtype=np.uint32)
-        anchor = (members[chosen].view(np.uint32) ^ salt[owner]).view(np.int32)
+        salt = np.array([xxhash.xxh64_intdigest(x) for x in b.column("table_name").to_pylist()], dtype=np.uint64)
+        anchor = (members[chosen].view(np.uint64) ^ salt[owner]).view(np.int64)
         take = pa.array(owner)
         yield pa.RecordBatch.from_arrays([pa.array(anchor), b.column("ref").take(take), b.column("n").take(take), b.column("fp").take(take)], names=["anchor", "ref", "n", "fp"])
 
 
-def near_copies(texts: DataFrame, k: int = SHINGLE, num: int = THRESHOLD_NUM, den: int = THRESHOLD_DEN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(table_name, id_a, id_b) with id_a < id_b. ``texts`` has table_name, id and text."""
+def linked_classes(texts: DataFrame, k: int = SHINGLE, num: int = THRESHOLD_NUM, den: int = THRESHOLD_DEN, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(links between classes: key_a, key_b; members: table_name, id, words_key, copy_key). A class is all texts of a table
+    with the same words. ``texts`` has table_name, id and text."""
     spark = texts.sparkSession
     ship_package(spark)
     rows = texts.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("table_name", "id", "text")
     stage = write_stage(rows.mapInArrow(lambda b: _fingerprints(b, k, min_words), PRINT_SCHEMA), "prints")
     prints = stage.df
-    counts = spark.sparkContext.broadcast(corpus_counts(prints))
+    counts = spark.sparkContext.broadcast(corpus_counts(prints, counters_for(prints.agg(F.sum("n").alias("n")).first()["n"] or 0)))
     narrow = prints.where("first").select("table_name", "ref", "n", "fp", "sig")
-    held = narrow.mapInArrow(lambda b: _anchors(b, counts, num, den), "anchor int, ref long, n int, fp long").repartition("anchor").dropDuplicates(["anchor", "ref", "n", "fp"])
+    held = narrow.mapInArrow(lambda b: _anchors(b, counts, num, den), "anchor long, ref long, n int, fp long").repartition("anchor").dropDuplicates(["anchor", "ref", "n", "fp"])
     a, b = held.alias("a"), held.alias("b")
     near = (
         (F.col("a.ref") < F.col("b.ref"))
@@ -207,7 +219,13 @@ def near_copies(texts: DataFrame, k: int = SHINGLE, num: int = THRESHOLD_NUM, de
         .select("key_a", "key_b")
     )
     linked = write_stage(linked.distinct(), "near-classes").df
-    member = lambda s: prints.select("table_name", F.col("words_key").alias(f"key_{s}"), F.col("id").alias(f"id_{s}"), F.col("copy_key").alias(f"copy_{s}"))
+    return linked, prints.select("table_name", "id", "words_key", "copy_key")
+
+
+def near_copies(texts: DataFrame, k: int = SHINGLE, num: int = THRESHOLD_NUM, den: int = THRESHOLD_DEN, min_words: int = MIN_WORDS) -> DataFrame:
+    """(table_name, id_a, id_b) with id_a < id_b, of all linked texts."""
+    linked, members = linked_classes(texts, k, num, den, min_words)
+    member = lambda s: members.select("table_name", F.col("words_key").alias(f"key_{s}"), F.col("id").alias(f"id_{s}"), F.col("copy_key").alias(f"copy_{s}"))
     return (
         linked.join(member("a"), "key_a")
         .join(member("b").drop("table_name"), "key_b")
@@ -217,5 +235,17 @@ def near_copies(texts: DataFrame, k: int = SHINGLE, num: int = THRESHOLD_NUM, de
     )
 
 
+def link_counts(texts: DataFrame, k: int = SHINGLE, num: int = THRESHOLD_NUM, den: int = THRESHOLD_DEN, min_words: int = MIN_WORDS) -> DataFrame:
+    """(table_name, id, class_id, n_links): one row for each text that is long enough, the smallest id of the texts with the
+    same words, and the number of other classes that are linked to it. Copies are not expanded."""
+    linked, members = linked_classes(texts, k, num, den, min_words)
+    ends = linked.select(F.col("key_a").alias("words_key")).unionByName(linked.select(F.col("key_b").alias("words_key")))
+    n = ends.groupBy("words_key").agg(F.count("*").alias("n_links"))
+    classes = members.groupBy("words_key").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).join(n, "words_key", "left")
+    classes = write_stage(classes.select(F.hex("words_key").alias("key"), "class_id", "n", F.coalesce("n_links", F.lit(0)).alias("n_links")), "near-members").df
+    keyed = members.select("table_name", "id", F.hex("words_key").alias("key"))
+    return split_hot_join(keyed, classes.drop("n"), "key", frequent(classes), "inner").select("table_name", "id", "class_id", "n_links")
+
+
 def graph_texts(captures: DataFrame, nodes: DataFrame) -> DataFrame:
     return captures.select(F.lit("captures").alias("table_name"), "id", F.col("raw_content").alias("text")).unionByName(nodes.select(F.lit("nodes").alias("table_name"), "id", F.col("content").alias("text")))

@@ -24,6 +24,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near_copies.near_copies(near_copies.graph_texts(table(spark, d, "captures"), table(spark, d, "nodes")))
 
 
+def p6_links(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each text with its class and its number of linked classes; copies are not expanded to pairs."""
+    return near_copies.link_counts(near_copies.graph_texts(table(spark, d, "captures"), table(spark, d, "nodes")))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return byte_bpe.encode_corpus(table(spark, d, "documents"))
 
@@ -74,6 +79,6 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_scored(spark, d))
 
 
-QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p8_report": p8_report, "p9_found": p9_found, "p9_passages": p9_passages, "p6_found": p6_found, "p2_found": p2_found, "p2_counts": p2_counts}
+QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p8_report": p8_report, "p9_found": p9_found, "p9_passages": p9_passages, "p6_found": p6_found, "p6_links": p6_links, "p2_found": p2_found, "p2_counts": p2_counts}
 
 SQL: dict[str, str] = oracle.SQL

@@ -62,3 +62,15 @@ def test_defined_cases(spark):
     assert m.found(c.withColumn("keep_id", F.lit(1)).withColumn("form", F.lit(2)), n).count() == 4
     again = c.where("id = 'b'")
     assert m.found(again.union(again), n.where("false")).count() == 0
+
+
+def test_a_group_with_a_third_of_all_rows_stays_spread(spark):
+    rows = [(f"n{i:05d}", "NOTE", "The Same Title!" if i % 3 == 0 else f"title {i}", "d") for i in range(6000)]
+    out = m.copies(spark.createDataFrame([], CAPTURE), spark.createDataFrame(rows, NODE).repartition(4))
+    assert out.count() == 2000 and {(r.keep_id, r.n) for r in out.collect()} == {("n00000", 2000)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        by = [r["count"] for r in m.copies(spark.createDataFrame([], CAPTURE), spark.createDataFrame(rows, NODE).repartition(4)).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(by) < 0.6 * sum(by)

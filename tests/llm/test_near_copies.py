@@ -72,3 +72,27 @@ def test_defined_cases(spark):
     df = spark.createDataFrame(rows, TEXT).withColumn("ref", F.lit("clash")).withColumn("sig", F.lit(1))
     assert {tuple(r) for r in nc.near_copies(df).collect()} == {("nodes", "d", "e")}
     assert nc.near_copies(df.where("false")).count() == 0
+
+
+def test_link_counts(spark):
+    """One row for each long text, with the smallest id of its words and the number of linked classes."""
+    rows = corpus(3)
+    links = {}
+    words = {(t, i): " ".join(nc.words_of(x)) for t, i, x in rows if len(nc.words_of(x)) >= 30}
+    sets = {k: set(zip(w.split(), w.split()[1:], w.split()[2:])) for k, w in words.items()}
+    for (t, i), s in sets.items():
+        near = {words[u, j] for (u, j), r in sets.items() if t == u and words[t, i].replace(" ", "") != words[u, j].replace(" ", "") and 10 * len(s & r) >= 7 * len(s | r)}
+        links[t, i] = (min(j for (u, j), w in words.items() if u == t and w == words[t, i]), len(near))
+    got = {(r.table_name, r.id): (r.class_id, r.n_links) for r in nc.link_counts(spark.createDataFrame(rows, TEXT)).collect()}
+    assert got == links
+
+
+def test_a_class_with_a_third_of_all_rows_is_not_expanded(spark):
+    base = " ".join(f"a{i}" for i in range(40))
+    rows = [("nodes", f"c{i:04d}", base) for i in range(1500)] + [("nodes", "v", base + " more words")] + [("nodes", f"x{i}", " ".join(f"b{i}_{k}" for k in range(40))) for i in range(300)]
+    got = nc.link_counts(spark.createDataFrame(rows, TEXT)).collect()
+    assert len(got) == len(rows) and {r.n_links for r in got if r.id.startswith("c")} == {1} and {r.class_id for r in got if r.id.startswith("c")} == {"c0000"}
+
+
+def test_counters_grow_with_the_corpus_within_their_bound():
+    assert nc.counters_for(0) == nc.COUNTERS and nc.counters_for(1 << 27) == 1 << 25 and nc.counters_for(10**13) == nc.MOST_COUNTERS
