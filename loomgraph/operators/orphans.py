@@ -1,11 +1,17 @@
 """References to records that do not exist: an incremental ledger of pending orphans.
 
-State, in written tables of the shared folder: an index of parents (id, created_at, deleted) and the references that
-are orphans now. ``advance`` takes the new references and the arriving parent rows of one increment:
+State, in written tables of the shared folder, each a list of deltas that are only ever added to:
 
-* a new reference probes the index, the arriving parents included;
-* an arriving parent resolves the orphans that wait for it (they stay in the ledger as ``late`` if it is younger);
-* a parent row that says deleted reopens the settled references to it, which are read again from their own table.
+* the index of parents (id, created_at, deleted), by bucket of the id;
+* the references themselves, by bucket of the id they refer to;
+* the log of orphans: a row whenever the standing of a reference changes (missing, deleted, late, or null: in order).
+
+``advance`` takes the new references and the arriving parent rows of one increment. A new reference probes the index, the
+arriving parents included. Arriving parents are met with the pending orphans that wait for them or are late: both are judged
+again, as a parent may be stated again with an earlier time. A parent that is newly deleted reopens the references to it,
+which are read again from the buckets of such parents only. Each increment writes what changed and a snapshot of the open
+orphans for each table, field, reason and month; no state is written anew. Deltas of the index are merged into one after
+COMPACT_AFTER of them.
 
 Each step is one equi-join on the referenced id. The few most frequent ids (the owner's node holds a tenth of all
 edges) are joined apart, against a broadcast of as many parent rows, so no task gathers them.
@@ -18,11 +24,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.runtime import Stage, hot_keys, split_hot_join, write_stage
 
+BUCKETS, COMPACT_AFTER = 16, 8
+REF_KEY = ["table_name", "record_id", "field_name"]
 REF_COLUMNS = ["table_name", "record_id", "field_name", "parent_table", "ref_id", "ref_at"]
 
 
@@ -53,58 +62,111 @@ def _reason() -> Column:
     return F.when(F.col("deleted").isNull(), "missing").when(F.col("deleted"), "deleted").when(F.col("parent_at") > F.col("ref_at"), "late")
 
 
-def _probe(refs: DataFrame, index: DataFrame, hot: list) -> DataFrame:
-    """``refs`` with their reason, null if the parent is in order. The two parent tables share one join by a keyed id."""
+def _probe(refs: DataFrame, index: DataFrame, hot: list, also: list | None = None) -> DataFrame:
+    """``refs`` with their reason, null if the parent is in order, and the columns ``also``. The two parent tables share one
+    join by a keyed id."""
     key = F.concat_ws(":", "parent_table", "ref_id")
     r = refs.withColumn("key", key)
-    return split_hot_join(r, index.select(key.alias("key"), "parent_at", "deleted"), "key", hot).select(*REF_COLUMNS, _reason().alias("reason"))
+    return split_hot_join(r, index.select(key.alias("key"), "parent_at", "deleted"), "key", hot).select(*REF_COLUMNS, *(also or []), _reason().alias("reason"))
+
+
+def _bucketed(df: DataFrame) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("parent_table", "ref_id"), F.lit(BUCKETS)).cast("int"))
+
+
+class Deltas:
+    """A table as a list of written parts, each partitioned by bucket: parts are added, and read by bucket."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: T.StructType):
+        self.spark, self.name, self.schema, self.parts = spark, name, schema, []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write a part and give it back."""
+        part = write_stage(_bucketed(df.select(*self.schema.names)).repartition(BUCKETS, "bucket"), self.name, partition_by="bucket")
+        self.parts.append(part)
+        return part.df
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """All parts; with ``buckets`` only their folders."""
+        out = [p.df if buckets is None else p.df.where(F.col("bucket").isin(buckets)) for p in self.parts]
+        return reduce(DataFrame.unionByName, out).select(*self.schema.names) if out else self.spark.createDataFrame([], self.schema)
+
+    def compact(self, merged: DataFrame) -> None:
+        """One part instead of all: ``merged`` holds what they say."""
+        old = list(self.parts)
+        self.parts = []
+        self.add(merged)
+        for p in old:
+            p.drop()
+
+
+def _buckets(df: DataFrame) -> list[int]:
+    """Buckets of the parents that the rows name: BUCKETS numbers at most."""
+    return sorted(r["bucket"] for r in _bucketed(df.select("parent_table", "ref_id")).select("bucket").distinct().collect())
 
 
 class OrphanLedger:
-    """The pending orphans after the increments so far; ``orphans`` has REF_COLUMNS and reason."""
-
-    def __init__(self, hot: list | None = None):
-        self.hot = hot or []
-        self.index: Stage | None = None
-        self.orphans: Stage | None = None
-
-    def advance(self, new_refs: DataFrame, arriving: DataFrame, settled_refs: DataFrame | None = None) -> OrphanLedger:
-        arriving = _merged(arriving)
-        known = arriving if self.index is None else _merged(self.index.df.unionByName(arriving))
-        index = write_stage(known, "orphan-index")
-        fresh = _probe(new_refs, index.df, self.hot).where("reason is not null")
-        if self.orphans is None:
-            orphans = fresh
-        else:
-            old = self.orphans.df
-            waiting = _probe(old.where("reason = 'missing'").drop("reason"), index.df, self.hot).where("reason is not null")
-            standing = old.where("reason <> 'missing'")
-            if settled_refs is not None:
-                gone = arriving.where("deleted").select("parent_table", "ref_id").join(self.index.df.where("not deleted").select("parent_table", "ref_id"), ["parent_table", "ref_id"], "left_semi")
-                reopened = settled_refs.join(gone, ["parent_table", "ref_id"], "left_semi").select(*REF_COLUMNS, F.lit("deleted").alias("reason"))
-                standing = standing.join(reopened.select(*REF_COLUMNS[:3]), REF_COLUMNS[:3], "left_anti").unionByName(reopened)
-            orphans = standing.unionByName(waiting).unionByName(fresh)
-        done = OrphanLedger(self.hot)
-        done.index, done.orphans = index, write_stage(orphans, "orphans")
-        for old in (self.index, self.orphans):
-            if old:
-                old.drop()
-        return done
+    """The pending orphans after the increments so far."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.number = spark, 0
+        self.index = Deltas(spark, "orphan-index", T.StructType.fromDDL("parent_table string, ref_id string, parent_at timestamp, deleted boolean"))
+        self.refs = Deltas(spark, "orphan-refs", T.StructType.fromDDL("table_name string, record_id string, field_name string, parent_table string, ref_id string, ref_at timestamp"))
+        self.log: list[Stage] = []
+        self.snapshots: list[Stage] = []
+
+    @property
+    def orphans(self) -> DataFrame:
+        """REF_COLUMNS and reason of the open orphans: the last word of the log on each reference."""
+        if not self.log:
+            return self.refs.read().withColumn("reason", F.lit(None).cast("string")).where(F.lit(False))
+        rows = reduce(DataFrame.unionByName, (s.df for s in self.log))
+        last = rows.groupBy(*REF_KEY).agg(F.max_by(F.struct("parent_table", "ref_id", "ref_at", "reason"), "increment").alias("last"))
+        return last.select(*REF_KEY, "last.*").where("reason is not null")
+
+    def advance(self, new_refs: DataFrame, arriving: DataFrame) -> OrphanLedger:
+        timed = lambda df, at: df.withColumn(at, F.col(at).cast("timestamp"))
+        came = write_stage(_merged(timed(arriving, "parent_at")), "orphan-came").df
+        came_in = _buckets(came)
+        # who is deleted now and wasn't: only their references are read again, from their buckets
+        gone = came.where("deleted").select("parent_table", "ref_id")
+        if self.index.parts:
+            gone = gone.join(self.index.read(came_in).where("deleted").select("parent_table", "ref_id").distinct(), ["parent_table", "ref_id"], "left_anti")
+            gone = write_stage(gone, "orphan-gone").df
+        changes = []
+        if self.refs.parts:
+            earlier = self.refs.read(_buckets(gone))
+            changes.append(earlier.join(gone, ["parent_table", "ref_id"], "left_semi").dropDuplicates(REF_KEY).select(*REF_COLUMNS, F.lit("deleted").alias("reason")))
+            pending = self.orphans.where("reason <> 'deleted'").join(came.select("parent_table", "ref_id"), ["parent_table", "ref_id"], "left_semi").join(gone, ["parent_table", "ref_id"], "left_anti")
+            pending = write_stage(pending.select(*REF_COLUMNS, F.col("reason").alias("before")), "orphan-pending").df
+        self.index.add(came)
+        own = self.refs.add(timed(new_refs, "ref_at").dropDuplicates(REF_KEY))
+        hot = hot_keys(own.select(F.concat_ws(":", "parent_table", "ref_id").alias("key")), "key")
+        fresh = _probe(own, _merged(self.index.read(_buckets(own))), hot).where("reason is not null")
+        if self.number:
+            judged = _probe(pending, _merged(self.index.read(came_in)), [], ["before"])
+            changes.append(judged.where(~F.col("reason").eqNullSafe(F.col("before"))).select(*REF_COLUMNS, "reason"))
+        self.number += 1
+        self.log.append(write_stage(reduce(DataFrame.unionByName, changes, fresh).withColumn("increment", F.lit(self.number)), "orphan-log"))
+        self.snapshots.append(write_stage(self.snapshot().withColumn("increment", F.lit(self.number)), "orphan-snapshot"))
+        # only now, when nothing above reads the parts any more
+        if len(self.index.parts) > COMPACT_AFTER:
+            self.index.compact(_merged(self.index.read()))
+        return self
 
     def snapshot(self) -> DataFrame:
         """Open orphans for each table, field, reason and month of the reference."""
-        return (
-            self.orphans.df.dropDuplicates(["table_name", "record_id", "field_name"])
-            .groupBy("table_name", "field_name", "reason", F.date_format("ref_at", "yyyy-MM").alias("period"))
-            .agg(F.count("*").alias("n_orphans"))
-        )
+        return self.orphans.groupBy("table_name", "field_name", "reason", F.date_format("ref_at", "yyyy-MM").alias("period")).agg(F.count("*").alias("n_orphans"))
+
+    def history(self) -> DataFrame:
+        """The snapshots of all increments."""
+        return reduce(DataFrame.unionByName, (s.df for s in self.snapshots))
 
 
 def run_ledger(refs: DataFrame, parents: DataFrame, cuts: list) -> OrphanLedger:
     """Advance through the increments between ``cuts`` (rows without a time come first). A row of the parents counts
     when it is created; a deletion, whose time isn't recorded, comes with its row."""
-    hot = hot_keys(refs.select(F.concat_ws(":", "parent_table", "ref_id").alias("key")), "key")
-    ledger = OrphanLedger(hot)
+    ledger = OrphanLedger(refs.sparkSession)
     bounds = [None, *cuts, None]
     for low, high in zip(bounds, bounds[1:], strict=False):
 
@@ -116,10 +178,9 @@ def run_ledger(refs: DataFrame, parents: DataFrame, cuts: list) -> OrphanLedger:
                 keep = keep & (F.col(at) < F.lit(high))
             return df.where(F.coalesce(keep, F.lit(low is None)))
 
-        earlier = None if low is None else refs.where(F.coalesce(F.col("ref_at") < F.lit(low), F.lit(True)))
-        ledger = ledger.advance(within(refs, "ref_at"), within(parents, "parent_at"), earlier)
+        ledger.advance(within(refs, "ref_at"), within(parents, "parent_at"))
     return ledger
 
 
 def found(ledger: OrphanLedger) -> DataFrame:
-    return ledger.orphans.df.select("table_name", "record_id", "field_name", "reason").distinct()
+    return ledger.orphans.select(*REF_KEY, "reason")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from loomgraph.runtime import table
 
 #: Penalty of a reading against the conventions where a source's conventions aren't known (p3_inferred).
 UNKNOWN_CONVENTIONS = 0.5
+#: The days at which the ledger of orphans takes its increments, and those of the series of snapshots.
+CUT, CUTS = "2024-07-01", ("2024-01-01", "2024-07-01", "2025-01-01")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,23 +39,26 @@ def p3_inferred(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.normalise_times(values, UNKNOWN_CONVENTIONS)
 
 
-def _ledger(spark: SparkSession, d: str) -> orphans.OrphanLedger:
+def _ledger(spark: SparkSession, d: str, cuts: tuple[str, ...] = (CUT,)) -> orphans.OrphanLedger:
     edges, facts, checks, nodes = (table(spark, d, t) for t in ("edges", "verified_facts", "fact_checks", "nodes"))
     refs, parents = orphans.references(edges, facts, checks), orphans.parent_rows(nodes, facts)
-    span = nodes.agg(F.min("created_at").alias("a"), F.max("created_at").alias("b")).first()
-    cuts = [span["a"] + (span["b"] - span["a"]) / 2] if span["a"] is not None else []
-    return orphans.run_ledger(refs, parents, cuts)
+    return orphans.run_ledger(refs, parents, [datetime.fromisoformat(c) for c in cuts])
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return orphans.found(_ledger(spark, d))
 
 
+def p7_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Open orphans after each increment."""
+    return _ledger(spark, d, CUTS).history().groupBy("increment", "table_name", "field_name", "reason").agg(F.sum("n_orphans").alias("n_orphans"))
+
+
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return _ledger(spark, d).snapshot()
 
 
-QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants, "p3_found": p3_found, "p3_inferred": p3_inferred, "p7_found": p7_found, "p7_report": p7_report}
+QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants, "p3_found": p3_found, "p3_inferred": p3_inferred, "p7_found": p7_found, "p7_report": p7_report, "p7_snapshots": p7_snapshots}
 
 _LINKS = """
 link AS (SELECT CASE WHEN upper(trim(edge_type)) = 'CONTAINS' THEN target_id ELSE source_id END AS child,
@@ -75,9 +82,12 @@ parents AS (SELECT 'nodes' AS parent_table, id AS ref_id, min(created_at) AS par
 judged AS (SELECT r.*, CASE WHEN p.ref_id IS NULL THEN 'missing' WHEN p.gone = 1 THEN 'deleted' WHEN p.parent_at > r.ref_at THEN 'late' END AS reason
   FROM refs r LEFT JOIN parents p ON p.parent_table = r.parent_table AND p.ref_id = r.ref_id)"""
 
+_STAND = f"""WITH {_REFS.replace('WHERE ref_id IS NOT NULL', "WHERE ref_id IS NOT NULL AND coalesce(ref_at < TIMESTAMP '{c}', true)").replace('FROM nodes GROUP BY id', "FROM nodes WHERE coalesce(created_at < TIMESTAMP '{c}', true) GROUP BY id").replace('FROM verified_facts GROUP BY id', "FROM verified_facts WHERE coalesce(created_at < TIMESTAMP '{c}', true) GROUP BY id")} SELECT table_name, field_name, reason, count(*) AS n_orphans FROM judged WHERE reason IS NOT NULL GROUP BY ALL"""
+
 SQL = {
     "p1_found": f"WITH RECURSIVE {_LINKS} SELECT node_id, root_id, depth FROM tree UNION ALL SELECT start, low, -1 FROM loops",
     "p1_descendants": f"WITH RECURSIVE {_LINKS}, below AS (SELECT parent AS ancestor_id, child AS node_id, 1 AS distance FROM link WHERE child IN (SELECT node_id FROM tree) UNION ALL SELECT b.ancestor_id, l.child, b.distance + 1 FROM below b JOIN link l ON l.parent = b.node_id) SELECT ancestor_id, node_id, distance FROM below",
     "p7_found": f"WITH {_REFS} SELECT DISTINCT table_name, record_id, field_name, reason FROM judged WHERE reason IS NOT NULL",
+    "p7_snapshots": " UNION ALL ".join(f"SELECT {k + 1} AS increment, * FROM ({_STAND.format(c=c)})" for k, c in enumerate((*CUTS, "9999-01-01"))),
     "p7_report": f"WITH {_REFS} SELECT table_name, field_name, reason, strftime(ref_at, '%Y-%m') AS period, count(*) AS n_orphans FROM judged WHERE reason IS NOT NULL GROUP BY ALL",
 }

@@ -51,12 +51,14 @@ class Stage:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def write_stage(df: DataFrame, name: str, partitions: int | None = None) -> Stage:
-    """Write ``df`` below the shared folder. ``partitions`` coalesces (no shuffle) to avoid many tiny files."""
+def write_stage(df: DataFrame, name: str, partitions: int | None = None, partition_by: str | None = None) -> Stage:
+    """Write ``df`` below the shared folder. ``partitions`` coalesces (no shuffle) to avoid many tiny files;
+    ``partition_by`` makes a folder for each value of a column, so that a filter on it reads only those."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
     out = df.coalesce(partitions) if partitions else df
-    out.write.option("compression", "zstd").parquet(path)
+    writer = out.write.option("compression", "zstd")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return Stage(spark, path, out.schema)
 
 

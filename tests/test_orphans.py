@@ -1,6 +1,8 @@
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from loomgraph.operators import orphans as o
 
 REF = "table_name string, record_id string, field_name string, parent_table string, ref_id string, ref_at timestamp"
@@ -34,23 +36,45 @@ def brute(refs, parents):
 def test_increments_agree_with_brute_force(spark):
     refs, parents, raw_refs, raw_parents = data(spark, 3)
     want = brute(raw_refs, raw_parents)
-    for cuts in ([], [DAY + timedelta(hours=500)], [DAY + timedelta(hours=h) for h in (200, 600, 900)]):
-        got = {tuple(r) for r in o.found(o.run_ledger(refs, parents, cuts)).collect()}
-        assert got == want, cuts
+    for cuts in ([], [DAY + timedelta(hours=500)], [DAY + timedelta(hours=100 * h) for h in range(1, 10)]):
+        ledger = o.run_ledger(refs, parents, cuts)
+        assert {tuple(r) for r in o.found(ledger).collect()} == want, cuts
+        assert len(ledger.snapshots) == len(cuts) + 1
+        last = ledger.history().where(F.col("increment") == len(cuts) + 1).agg(F.sum("n_orphans")).first()[0]
+        assert last == len(want)
 
 
 def test_arrival_resolves_and_deletion_reopens(spark):
     ref = lambda *rows: spark.createDataFrame(list(rows), REF)
     par = lambda *rows: spark.createDataFrame(list(rows), PARENT)
     first = ref(("edges", "e1", "source_id", "nodes", "a", DAY), ("edges", "e2", "source_id", "nodes", "b", DAY + timedelta(9)))
-    none = spark.createDataFrame([], PARENT)
-    ledger = o.OrphanLedger().advance(first, none)
-    assert {tuple(r) for r in o.found(ledger).collect()} == {("edges", "e1", "source_id", "missing"), ("edges", "e2", "source_id", "missing")}
-    ledger = ledger.advance(spark.createDataFrame([], REF), par(("nodes", "a", DAY + timedelta(1), False), ("nodes", "b", DAY, False)), first)
-    assert {tuple(r) for r in o.found(ledger).collect()} == {("edges", "e1", "source_id", "late")}
-    ledger = ledger.advance(spark.createDataFrame([], REF), par(("nodes", "b", DAY, True)), first)
-    assert {tuple(r) for r in o.found(ledger).collect()} == {("edges", "e1", "source_id", "late"), ("edges", "e2", "source_id", "deleted")}
-    assert sum(r.n_orphans for r in ledger.snapshot().collect()) == 2
+    none, no_ref = spark.createDataFrame([], PARENT), spark.createDataFrame([], REF)
+    ledger = o.OrphanLedger(spark).advance(first, none)
+    rows = lambda: {tuple(r)[1:] for r in o.found(ledger).collect()}
+    assert rows() == {("e1", "source_id", "missing"), ("e2", "source_id", "missing")}
+    ledger.advance(no_ref, par(("nodes", "a", DAY + timedelta(1), False), ("nodes", "b", DAY, False)))
+    assert rows() == {("e1", "source_id", "late")}
+    ledger.advance(no_ref, par(("nodes", "b", DAY, True)))
+    assert rows() == {("e1", "source_id", "late"), ("e2", "source_id", "deleted")}
+    # the parent stated again with an earlier time: the reference was never late
+    ledger.advance(no_ref, par(("nodes", "a", DAY - timedelta(1), False)))
+    assert rows() == {("e2", "source_id", "deleted")}
+    # deleted twice changes nothing
+    ledger.advance(no_ref, par(("nodes", "b", DAY, True), ("nodes", "b", DAY, False)))
+    assert rows() == {("e2", "source_id", "deleted")} and ledger.log[-1].df.count() == 0
+    assert sum(r.n_orphans for r in ledger.snapshot().collect()) == 1
+
+
+def test_an_increment_reads_the_buckets_it_touches(spark, monkeypatch):
+    """Ten increments: each adds its own part, and nothing is written anew but a merged index."""
+    refs, parents, raw_refs, raw_parents = data(spark, 5)
+    monkeypatch.setattr(o, "COMPACT_AFTER", 4)
+    ledger = o.run_ledger(refs, parents, [DAY + timedelta(hours=100 * h) for h in range(1, 10)])
+    assert {tuple(r) for r in o.found(ledger).collect()} == brute(raw_refs, raw_parents)
+    assert len(ledger.refs.parts) == 10 and len(ledger.index.parts) <= 5
+    one = ledger.refs.read([3])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and 0 < one.count() < ledger.refs.read().count() / 3
 
 
 def test_empty_tables(spark):
