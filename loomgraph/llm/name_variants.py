@@ -10,11 +10,14 @@ average-linkage clustering of each connected group of links.
 * People. The vectors are n-grams of the name within an organisation key, so that only people of one organisation meet;
   people with one e-mail address are linked as well. A pair is confirmed if family and given names agree up to typing
   errors, short forms, abbreviations, initials and order, and their addresses don't contradict.
-* Grouping: components of the links, then average linkage within each (absent or contradicted pairs count 0), where people
-  with one address are one item. Rows alike in all that is compared are one before the join, and pairs are made at the end.
+* Grouping: components of the links, then average linkage of the cosines within each (absent or contradicted pairs count 0),
+  where people with one address are one item. Rows alike in all that is compared are one before the join.
+* Result: ``entities`` gives one row for each node with the smallest id of its entity; ``variant_pairs`` expands the
+  entities to all pairs.
 
 Cosine join: grams are ordered by weight, and a vector sends only its heaviest grams until the norm of the rest is below
-the threshold: two vectors above the threshold share a gram among those. No partner is capped.
+the threshold: two vectors above the threshold share a gram among those. ``top`` keeps the best partners of each vector;
+without it, as here, no partner is cut off.
 
 Defined cases: null titles take the name in the properties; nodes without organisation and address have no partners;
 properties that don't parse count as empty; deleted nodes are linked too; ties are broken by id.
@@ -38,7 +41,7 @@ from loomgraph.llm.personal import HONORIFICS, fold
 from loomgraph.operators.components import connected_components
 from loomgraph.runtime import ship_package, write_stage
 
-ORG_GRAM, NAME_GRAM, ORG_COSINE, NAME_COSINE, LINKAGE = 4, 3, 0.3, 0.3, 0.5
+ORG_GRAM, NAME_GRAM, ORG_COSINE, NAME_COSINE, LINKAGE = 4, 3, 0.3, 0.3, 0.15
 _EMAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
 _WORD = re.compile(r"[^\W_]+")
 # Words that organisation names gain or lose.
@@ -117,8 +120,9 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=RECORD.names)
 
 
-def cosine_pairs(grams: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, cosine) with a < b of all pairs at the threshold. ``grams`` has id and gram, distinct."""
+def cosine_pairs(grams: DataFrame, threshold: float, top: int | None = None) -> DataFrame:
+    """(a, b, cosine) with a < b of all pairs at the threshold, or of those among the ``top`` partners of either end.
+    ``grams`` has id and gram, distinct."""
     count = grams.groupBy("gram").agg(F.count("*").alias("df"))
     top = grams.select("id").distinct().count() + 1
     weighted = grams.join(count.where("df > 1"), "gram", "left").select("id", "gram", F.log1p(F.lit(float(top)) / F.coalesce("df", F.lit(1))).alias("w"))
@@ -131,7 +135,11 @@ def cosine_pairs(grams: DataFrame, threshold: float) -> DataFrame:
     # candidates meet at prefix grams; the cosine is then summed over all shared grams
     candidates = left.select(F.col("id").alias("a"), "gram").join(left.select(F.col("id").alias("b"), "gram"), "gram").where("a < b").select("a", "b").distinct()
     of = lambda s: v.select(F.col("id").alias(s), F.col("gram").alias("gram"), F.col("w").alias(f"w{s}"))
-    return candidates.join(of("a"), "a").join(of("b"), ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= threshold)
+    pairs = candidates.join(of("a"), "a").join(of("b"), ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= threshold)
+    if top is None:
+        return pairs
+    place = lambda end, other: F.row_number().over(Window.partitionBy(end).orderBy(F.desc("cosine"), other))
+    return pairs.withColumns({"at_a": place("a", "b"), "at_b": place("b", "a")}).where((F.col("at_a") <= top) | (F.col("at_b") <= top)).select("a", "b", "cosine")
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -199,7 +207,7 @@ def agree(a: tuple[list[str], list[str]], b: tuple[list[str], list[str]]) -> boo
     return any(same_name(x, y) for x in names_a for y in names_b)
 
 
-def average_linkage(n: int, near: dict[tuple[int, int], float], apart: frozenset[int] = frozenset(), least: float = LINKAGE) -> list[int]:
+def average_linkage(n: int, near: dict[tuple[int, int], float], apart: frozenset[int] = frozenset(), least: float = 0.5) -> list[int]:
     """Cluster number of each of n items; ``near`` holds the similarities above 0 of pairs i < j, all others are 0. No
     two items of ``apart`` come into one cluster.
 
@@ -239,10 +247,10 @@ def average_linkage(n: int, near: dict[tuple[int, int], float], apart: frozenset
     return [top(i) for i in range(n)]
 
 
-def clusters_of(links: list[tuple[str, str, bool]], mailed: set[str]) -> list[tuple[str, str]]:
-    """(id, cluster) from the links (a, b, same address) of one component: people with one address are one item, and
-    items with addresses of their own contradict each other."""
-    ids = sorted({x for a, b, _ in links for x in (a, b)})
+def clusters_of(links: list[tuple[str, str, bool, float]], mailed: set[str]) -> list[tuple[str, str]]:
+    """(id, cluster) from the links (a, b, same address, cosine) of one component: people with one address are one item,
+    as near to another as the nearest of its people, and items with addresses of their own contradict each other."""
+    ids = sorted({x for a, b, *_ in links for x in (a, b)})
     to = {i: i for i in ids}
 
     def top(i: str) -> str:
@@ -251,18 +259,18 @@ def clusters_of(links: list[tuple[str, str, bool]], mailed: set[str]) -> list[tu
             i = to[i]
         return i
 
-    for a, b, same in links:
+    for a, b, same, _ in links:
         if same:
             x, y = sorted((top(a), top(b)))
             to[y] = x
     items = sorted({top(i) for i in ids})
     at = {x: k for k, x in enumerate(items)}
     near = {}
-    for a, b, same in links:
+    for a, b, same, cosine in links:
         x, y = sorted((at[top(a)], at[top(b)]))
         if not same and x != y:
-            near[x, y] = 1.0
-    c = average_linkage(len(items), near, frozenset(at[top(i)] for i in mailed))
+            near[x, y] = max(near.get((x, y), 0.0), cosine)
+    c = average_linkage(len(items), near, frozenset(at[top(i)] for i in mailed), LINKAGE)
     return [(i, items[c[at[top(i)]]]) for i in ids]
 
 
@@ -275,7 +283,7 @@ def _cluster(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if r.label != label:
                 out += clusters_of(links, mailed)
                 label, links, mailed = r.label, [], set()
-            links.append((r.a, r.b, bool(r.same)))
+            links.append((r.a, r.b, bool(r.same), float(r.cosine)))
             mailed.update(x for x, m in ((r.a, r.mail_a), (r.b, r.mail_b)) if m)
         if len(out) > 5000:
             yield pd.DataFrame(out, columns=["rep", "cluster"])
@@ -326,8 +334,8 @@ def org_keys(records: DataFrame) -> DataFrame:
     return strings.join(better, "org", "left").select("org", F.coalesce("known", "partner", "head").alias("key"))
 
 
-def variant_pairs(nodes: DataFrame) -> DataFrame:
-    """(id_a, id_b) of all pairs of nodes of one type that denote one entity."""
+def entities(nodes: DataFrame) -> DataFrame:
+    """(id, node_type, entity_id): each person and organisation node that has a name with the smallest id of its entity."""
     ship_package(nodes.sparkSession)
     wanted = nodes.where(F.col("node_type").isin("PERSON", "ORGANIZATION") & F.col("id").isNotNull()).select("id", "node_type", "title", "properties")
     records = write_stage(wanted.mapInArrow(_records, RECORD), "name-records").df
@@ -336,7 +344,8 @@ def variant_pairs(nodes: DataFrame) -> DataFrame:
     keyed = records.join(by_org, "id", "left").withColumn("key", F.coalesce("domain", "key"))
     keyed = write_stage(keyed.where("key is not null"), "name-keyed").df
     orgs = keyed.where("node_type = 'ORGANIZATION'").select("id", "key")
-    org_pairs = orgs.select(F.col("id").alias("id_a"), "key").join(orgs.select(F.col("id").alias("id_b"), "key"), "key").where("id_a < id_b").select("id_a", "id_b")
+    firsts = orgs.groupBy("key").agg(F.min("id").alias("entity_id"))
+    org_entities = orgs.join(firsts, "key").select("id", F.lit("ORGANIZATION").alias("node_type"), "entity_id")
     people = keyed.where("node_type = 'PERSON' and size(names) > 0").select("id", "names", "emails", "domain", "orgs", "key")
     # people alike in all that is compared are one from here on: however many copies there are, one of them is linked
     alike_in = F.struct(F.array_sort("names").alias("names"), F.array_sort("emails").alias("emails"), "domain", "orgs", "key")
@@ -353,14 +362,21 @@ def variant_pairs(nodes: DataFrame) -> DataFrame:
     grams = met.join(one.select("id", "names"), "id").select("id", F.explode(F.transform(F.array_distinct(forms), lambda g: F.concat_ws("|", "key", g))).alias("gram")).distinct()
     near = cosine_pairs(grams, NAME_COSINE)
     side = lambda s: one.select(F.col("id").alias(s), F.col("names").alias(f"names_{s}"), F.col("emails").alias(f"emails_{s}"))
-    alike = near.join(side("a"), "a").join(side("b"), "b").where(agree_udf("names_a", "emails_a", "names_b", "emails_b")).select("a", "b", F.lit(False).alias("same"), (F.size("emails_a") > 0).alias("mail_a"), (F.size("emails_b") > 0).alias("mail_b"))
+    alike = near.join(side("a"), "a").join(side("b"), "b").where(agree_udf("names_a", "emails_a", "names_b", "emails_b")).select("a", "b", F.lit(False).alias("same"), (F.size("emails_a") > 0).alias("mail_a"), (F.size("emails_b") > 0).alias("mail_b"), "cosine")
     mails = one.select("id", F.explode("emails").alias("email"))
     first = mails.groupBy("email").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    shared = mails.join(first.select("email", "a"), "email").where("id <> a").select("a", F.col("id").alias("b"), *(F.lit(True).alias(c) for c in ("same", "mail_a", "mail_b")))
+    shared = mails.join(first.select("email", "a"), "email").where("id <> a").select("a", F.col("id").alias("b"), *(F.lit(True).alias(c) for c in ("same", "mail_a", "mail_b")), F.lit(1.0).alias("cosine"))
     links = write_stage(alike.union(shared), "name-links").df
     labels = connected_components(links).df
     placed = links.join(labels.select(F.col("id").alias("a"), "label"), "a").repartition("label").sortWithinPartitions("label", "a", "b")
     clustered = placed.mapInPandas(_cluster, "rep string, cluster string")
     final = write_stage(member.join(clustered, "rep", "left").select("id", F.coalesce("cluster", "rep").alias("cluster")), "name-clusters").df
-    person_pairs = final.select(F.col("id").alias("id_a"), "cluster").join(final.select(F.col("id").alias("id_b"), "cluster"), "cluster").where("id_a < id_b").select("id_a", "id_b")
-    return org_pairs.union(person_pairs).distinct()
+    least = final.groupBy("cluster").agg(F.min("id").alias("entity_id"))
+    return org_entities.unionByName(final.join(least, "cluster").select("id", F.lit("PERSON").alias("node_type"), "entity_id"))
+
+
+def variant_pairs(nodes: DataFrame) -> DataFrame:
+    """(id_a, id_b) of all pairs of nodes of one type that denote one entity."""
+    e = write_stage(entities(nodes), "name-entities").df
+    side = lambda c: e.select("node_type", "entity_id", F.col("id").alias(c))
+    return side("id_a").join(side("id_b"), ["node_type", "entity_id"]).where("id_a < id_b").select("id_a", "id_b").distinct()

@@ -50,6 +50,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return name_variants.variant_pairs(table(spark, d, "nodes"))
 
 
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each named node with its entity; the pairs are not expanded."""
+    return name_variants.entities(table(spark, d, "nodes"))
+
+
 def _personal(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "nodes")
     return personal.find_personal(personal.private_fields(table(spark, d, "captures"), nodes), personal.name_lexicon(nodes))
@@ -79,6 +84,6 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_scored(spark, d))
 
 
-QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p8_report": p8_report, "p9_found": p9_found, "p9_passages": p9_passages, "p6_found": p6_found, "p6_links": p6_links, "p2_found": p2_found, "p2_counts": p2_counts}
+QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_redacted": p5_redacted, "p8_ids": p8_ids, "p8_report": p8_report, "p9_found": p9_found, "p9_passages": p9_passages, "p6_found": p6_found, "p6_links": p6_links, "p2_found": p2_found, "p2_counts": p2_counts}
 
 SQL: dict[str, str] = oracle.SQL

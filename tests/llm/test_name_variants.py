@@ -72,6 +72,34 @@ def test_average_linkage_keeps_contradictions_apart():
     assert c[0] != c[3] and c[0] == c[1] == c[2]
 
 
+def test_the_cosines_decide_who_belongs_together():
+    """A weak link between two close pairs is too little for one cluster, a strong one is enough."""
+    close = [("a", "b", False, 0.9), ("c", "d", False, 0.9)]
+    of = lambda links: dict(nv.clusters_of(links, set()))
+    weak, strong = of([*close, ("b", "c", False, 0.35)]), of([*close, ("b", "c", False, 0.9)])
+    assert weak["a"] == weak["b"] != weak["c"] == weak["d"] and len(set(strong.values())) == 1
+    # one address makes one item, as near as the nearest of its people
+    assert len(set(of([("a", "b", True, 1.0), ("a", "c", False, 0.3), ("b", "c", False, 0.9)]).values())) == 1
+
+
+def test_top_partners(spark):
+    grams = spark.createDataFrame([(i, g) for i, gs in (("a", "wxyz"), ("b", "wxyz"), ("c", "wxy"), ("d", "w"), ("e", "q")) for g in gs], "id string, gram string")
+    all_ = {(r.a, r.b): r.cosine for r in nv.cosine_pairs(grams, 0.1).collect()}
+    top = {(r.a, r.b): r.cosine for r in nv.cosine_pairs(grams, 0.1, 1).collect()}
+    assert ("a", "b") in top and set(top) < set(all_) and all(top[k] == all_[k] for k in top)
+    for x in "abcd":
+        mine = {k: c for k, c in all_.items() if x in k}
+        assert any(top.get(k) == max(mine.values()) for k in mine)
+
+
+def test_entities_and_pairs_agree(spark):
+    rows = [(f"p{i}", "PERSON", t, '{"organization": "Orgaaa One"}', None) for i, t in enumerate(["Maria Westmoor", "Maria Westmor", "Dr Maria Westmoor", "John Hadley"])]
+    df = spark.createDataFrame(rows, NODE)
+    e = {r.id: r.entity_id for r in nv.entities(df).collect()}
+    pairs = {tuple(r) for r in nv.variant_pairs(df).collect()}
+    assert pairs == {(a, b) for a in e for b in e if a < b and e[a] == e[b]} and ("p0", "p1") in pairs and e["p3"] == "p3"
+
+
 def test_defined_cases(spark):
     rows = [("a", "PERSON", None, None, None), ("b", "PERSON", None, "broken", None), ("c", "PERSON", "", "[]", None), ("d", "ORGANIZATION", None, None, None), (None, "PERSON", "A Bbb", None, None), ("e", "PERSON", "A Bbbb", '{"organization": 5, "aliases": 7, "contact_info": "x"}', None), ("f", "PERSON", "x" * 5000, '{"organization": "Org"}', None), ("g", "PERSON", "Same Name", '{"organization": "Orgaaa One"}', None), ("h", "PERSON", "Same Name", '{"organization": "Orgaaa One"}', None)]
     df = spark.createDataFrame(rows, NODE).withColumn("names", F.lit(1)).withColumn("gram", F.lit(1))
