@@ -124,8 +124,8 @@ def cosine_pairs(grams: DataFrame, threshold: float, top: int | None = None) ->
     """(a, b, cosine) with a < b of all pairs at the threshold, or of those among the ``top`` partners of either end.
     ``grams`` has id and gram, distinct."""
     count = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    top = grams.select("id").distinct().count() + 1
-    weighted = grams.join(count.where("df > 1"), "gram", "left").select("id", "gram", F.log1p(F.lit(float(top)) / F.coalesce("df", F.lit(1))).alias("w"))
+    n_ids = grams.select("id").distinct().count() + 1
+    weighted = grams.join(count.where("df > 1"), "gram", "left").select("id", "gram", F.log1p(F.lit(float(n_ids)) / F.coalesce("df", F.lit(1))).alias("w"))
     by_id = Window.partitionBy("id")
     heavy = by_id.orderBy(F.desc("w"), "gram").rowsBetween(Window.unboundedPreceding, -1)
     v = weighted.withColumns({"norm": F.sqrt(F.sum(F.col("w") * F.col("w")).over(by_id)), "before": F.coalesce(F.sum(F.col("w") * F.col("w")).over(heavy), F.lit(0.0))})
@@ -138,8 +138,9 @@ def cosine_pairs(grams: DataFrame, threshold: float, top: int | None = None) ->
     pairs = candidates.join(of("a"), "a").join(of("b"), ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= threshold)
     if top is None:
         return pairs
-    place = lambda end, other: F.row_number().over(Window.partitionBy(end).orderBy(F.desc("cosine"), other))
-    return pairs.withColumns({"at_a": place("a", "b"), "at_b": place("b", "a")}).where((F.col("at_a") <= top) | (F.col("at_b") <= top)).select("a", "b", "cosine")
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "cosine").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "cosine"))
+    best = both.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).where(F.col("place") <= top)
+    return best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "cosine").distinct()
 
 
 def distance(a: str, b: str, most: int) -> int:
