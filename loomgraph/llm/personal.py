@@ -10,10 +10,11 @@ Names: a family name counts with a given name, an initial or an honorific before
 is a given name and what looks like a family name is learned from all PERSON nodes (titles and aliases), at any size alike:
 every word that is stated as a given name at least as often as as a family name, every word that is a family name at least
 as often, and the first and last three and four letters of family names that two or more of them share: four at one end and
-three at the other mark a family name. Four letters of an alphabet bound the last; given names are bounded by
-``GIVEN_LIMIT``, the most frequent ones; whole family names grow with the number of distinct ones.
+three at the other mark a family name. No name is left out and nothing is cut off by rank.
 
-Scale: one linear pass, no shuffle of texts; the lexicon is a small aggregate that is broadcast with its bound.
+Scale: one linear pass, no shuffle of texts. The lexicon is made by aggregates and has a fixed size: both lists of names are
+Bloom filters of BLOOM_BITS bits (no name is ever missed; of a million names one word in 100,000 passes by chance), and
+beginnings and ends are bounded by four letters of an alphabet.
 
 Defined cases: null and empty texts have nothing; long texts are searched whole; overlapping finds keep the longest of
 the earliest kind; rows delivered twice give one row; contact_info that is no object is searched as text.
@@ -25,17 +26,20 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.nicknames import SHORT_FORMS
-from loomgraph.runtime import ship_package
+from loomgraph.runtime import ship_package, write_stage
 
 KINDS = ("EMAIL", "ID_NUMBER", "PHONE", "ADDRESS", "NAME")
-GIVEN_LIMIT, LONG, SHORT = 100_000, 4, 3
+LONG, SHORT = 4, 3
+BLOOM_BITS, BLOOM_HASHES, BLOOM_SLICES = 1 << 26, 4, 16
 # Titles before a family name, and letters of other alphabets that look like Latin ones.
 HONORIFICS = frozenset("mr mrs ms miss mx dr prof professor sir dame herr frau mme mlle monsieur madame señor señora senor senora sr sra don doña".split())
 HOMOGLYPHS = dict(zip("аеорсухіјѕһԁӏАВЕКМНОРСТУХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανρι", "aeopcyxijshdlABEKMHOPCTYXIJSABEZHIKMNOPTYXoavpi", strict=True))
@@ -91,13 +95,75 @@ _PLAIN_ID = re.compile(r"\d{3}-\d{2}-\d{4}")
 _SEVEN_DIGITS = re.compile(r"\d(?:[\s.()+-]{0,2}\d){6}")
 
 
+class Bloom:
+    """A set of words of a fixed size: what was put in is always in, another word hardly ever."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+        self.known: dict[str, bool] = {}
+
+    @staticmethod
+    def places(word: str) -> list[int]:
+        h = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).digest(), "little")
+        a, b = h & (2**64 - 1), (h >> 64) | 1
+        return [(a + k * b) % BLOOM_BITS for k in range(BLOOM_HASHES)]
+
+    def __contains__(self, word: str) -> bool:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            found = self.known[word] = all(self.bits[x >> 3] >> (x & 7) & 1 for x in self.places(word))
+        return found
+
+    def __ge__(self, words) -> bool:
+        return all(w in self for w in words)
+
+    def __getstate__(self) -> bytes:
+        return pa.compress(self.bits.tobytes(), "zstd", asbytes=True)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.__init__(np.frombuffer(pa.decompress(state, decompressed_size=BLOOM_BITS // 8, codec="zstd", asbytes=True), dtype=np.uint8))
+
+
+def bloom_of(words: DataFrame) -> Bloom:
+    """The filter of a column of words: bits are set in slices by each task and joined by slice."""
+    width = BLOOM_BITS // 8 // BLOOM_SLICES
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
+        for b in batches:
+            at = np.array([x for w in b.column(0).to_pylist() for x in Bloom.places(w)], dtype=np.int64)
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        if bits.any():
+            slices = [pa.compress(s.tobytes(), "zstd", asbytes=True) for s in np.split(bits, BLOOM_SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(BLOOM_SLICES), pa.int32()), pa.array(slices, pa.binary())], names=["slice", "bits"])
+
+    def join(key: tuple, t: pa.Table) -> pa.Table:
+        total = np.zeros(width, dtype=np.uint8)
+        for c in t.column("bits").to_pylist():
+            total |= np.frombuffer(pa.decompress(c, decompressed_size=width, codec="zstd", asbytes=True), dtype=np.uint8)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())})
+
+    out = np.zeros((BLOOM_SLICES, width), dtype=np.uint8)
+    for r in words.mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInArrow(join, "slice int, bits binary").collect():
+        out[r["slice"]] = np.frombuffer(pa.decompress(r["bits"], decompressed_size=width, codec="zstd", asbytes=True), dtype=np.uint8)
+    return Bloom(out.reshape(-1))
+
+
 class Lexicon(NamedTuple):
-    """Given names; beginnings and ends of family names, of LONG and SHORT letters; whole family names."""
+    """Given names; beginnings and ends of family names, of LONG and SHORT letters; whole family names; beginnings of two
+    to four letters of given names."""
 
-    given: frozenset[str]
+    given: frozenset[str] | Bloom
     prefixes: frozenset[str]
     suffixes: frozenset[str]
-    families: frozenset[str] = frozenset()
+    families: frozenset[str] | Bloom = frozenset()
+    starts: frozenset[str] | None = None
+
+    def begins_given(self, word: str) -> bool:
+        """Whether a short form of two to four letters begins a given name."""
+        return word in self.starts if self.starts is not None else any(g.startswith(word) for g in self.given)
 
     def family(self, word: str) -> bool:
         if word in self.families:
@@ -210,7 +276,7 @@ def _names(text: str, lex: Lexicon) -> list[tuple[int, int]]:
                 break
             if pw in HONORIFICS or pw in lex.given:
                 start = ps
-            elif gap.startswith(".") and 2 <= len(pw) <= 4 and text[ps].isupper() and any(g.startswith(pw) for g in lex.given):
+            elif gap.startswith(".") and 2 <= len(pw) <= 4 and text[ps].isupper() and lex.begins_given(pw):
                 start = ps  # an abbreviated given name, with its full stop
             elif pe - ps == 1 and (gap.startswith(".") or (text[ps].isupper() and text[ps] not in "IA")):
                 start = ps
@@ -294,6 +360,7 @@ def contact_values(raw: str) -> list[str]:
 
 def name_lexicon(nodes: DataFrame) -> Lexicon:
     """Given names and the beginnings and ends of family names, from all PERSON nodes."""
+    ship_package(nodes.sparkSession)
     aliases = F.get_json_object("properties", "$.aliases")
     listed = F.coalesce(F.from_json(aliases, "array<string>"), F.split(aliases, r"\s*;\s*"), F.array().cast("array<string>"))
     people = nodes.where((F.col("node_type") == "PERSON") & F.col("title").isNotNull())
@@ -308,12 +375,30 @@ def name_lexicon(nodes: DataFrame) -> Lexicon:
     names = raw.select(letters(F.when(~first.endswith("."), first)).alias("given"), letters(F.when(turned, comma[0]).when(F.size(parts) >= 2, F.element_at(parts, -1))).alias("family"))
     both = F.array(F.struct(F.lit("given").alias("role"), F.col("given").alias("word")), F.struct(F.lit("family").alias("role"), F.col("family").alias("word")))
     words = names.select(F.explode(both).alias("x")).select("x.*").where(F.length("word") >= 2).groupBy("word").agg(F.count_if(F.col("role") == "given").alias("n_given"), F.count_if(F.col("role") == "family").alias("n_family"))
-    given = words.where((F.col("n_given") > 0) & (F.col("n_given") >= F.col("n_family"))).orderBy(F.desc("n_given"), "word").limit(GIVEN_LIMIT).collect()
+    words = write_stage(words, "name-words").df
+    given = words.where((F.col("n_given") > 0) & (F.col("n_given") >= F.col("n_family"))).select("word")
     whole = words.where((F.col("n_family") > 0) & (F.col("n_family") >= F.col("n_given"))).select(F.col("word").alias("family"))
     families = whole.where(F.length("family") > LONG)
     side = lambda s, n: F.struct(F.lit(s).alias("side"), (F.substring("family", 1, n) if s == "p" else F.substring("family", -n, n)).alias("part"))
     ends = families.select(F.explode(F.array(*(side(s, n) for s in "ps" for n in (LONG, SHORT)))).alias("x")).select("x.*").groupBy("side", "part").count().where("count >= 2").collect()
-    return Lexicon(frozenset(fold(r["word"]) for r in given) | frozenset(SHORT_FORMS), frozenset(fold(r["part"]) for r in ends if r["side"] == "p"), frozenset(fold(r["part"]) for r in ends if r["side"] == "s"), frozenset(fold(r["family"]) for r in whole.collect()))
+    starts = given.select(F.explode(F.array(*(F.substring("word", 1, n) for n in (2, 3, 4)))).alias("x")).distinct().collect()
+    short = [fold(w) for w in SHORT_FORMS]
+    every = given.unionByName(nodes.sparkSession.createDataFrame([(w,) for w in short], "word string"))
+    return Lexicon(
+        bloom_of(_folded(every, "word")),
+        frozenset(fold(r["part"]) for r in ends if r["side"] == "p"),
+        frozenset(fold(r["part"]) for r in ends if r["side"] == "s"),
+        bloom_of(_folded(whole, "family")),
+        frozenset(fold(r["x"]) for r in starts) | frozenset(w[:n] for w in short for n in (2, 3, 4)),
+    )
+
+
+def _folded(words: DataFrame, column: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([fold(w) for w in b.column(0).to_pylist()], pa.string())], names=["word"])
+
+    return words.select(column).mapInArrow(run, "word string")
 
 
 def private_fields(captures: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -101,6 +101,15 @@ def test_names_stated_once(spark):
     assert p.spans("Lee side of the hill, a kim of tea", lex) == []
 
 
+def test_bloom_filter(spark):
+    words = [f"name{i}" for i in range(3000)]
+    b = p.bloom_of(spark.createDataFrame([(w,) for w in words], "word string").repartition(3))
+    again = p.Bloom.__new__(p.Bloom)
+    again.__setstate__(b.__getstate__())
+    assert all(w in b and w in again for w in words) and sum(f"other{i}" in b for i in range(20_000)) < 5
+    assert {"name1", "name2"} <= b and "x" not in p.bloom_of(spark.createDataFrame([], "word string"))
+
+
 def test_tables_and_defined_cases(spark):
     node = "id string, node_type string, title string, content string, properties string, text string"
     people = [(f"p{i}{j}", "PERSON", f"{g} {f.title()}", None, json.dumps({"contact_info": {"phone": "kate@x.example", "note": "see badge"}}), None) for i, g in enumerate(["Deepa", "Hana"]) for j, f in enumerate(FAMILIES)]
