@@ -6,15 +6,14 @@ send aggregated rows, and frontiers are joined as tables, so nothing is gathered
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import connected_components
 from loomgraph.operators.lookup import live, symmetric
-from loomgraph.runtime import Stage, ship_package, write_stage
+from loomgraph.runtime import Stage, write_stage
 
 
 def simple_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -37,7 +36,7 @@ def degree_centrality(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(id, hop): nodes within ``hops`` of the seeds, with the fewest hops. Only the new frontier is joined."""
-    near = symmetric(edges).select("node_id", "other_id").where("other_id is not null").distinct()
+    near = write_stage(symmetric(edges).select("node_id", "other_id").where("other_id is not null").distinct().repartition("node_id"), "bfs-links").df
     seen = write_stage(seeds.select("id", F.lit(0).alias("hop")).distinct(), "bfs")
     for h in range(1, hops + 1):
         s = seen.df
@@ -51,7 +50,7 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 def shortest_paths(links: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
     """(id, hops, path) from the seeds: breadth first, the smallest path at each node among the shortest."""
-    near = both_ways(links)
+    near = write_stage(both_ways(links), "paths-links").df
     seen = write_stage(seeds.select("id", F.lit(0).alias("hops"), F.array("id").alias("path")).distinct(), "paths")
     for h in range(1, max_hops + 1):
         s = seen.df
@@ -66,11 +65,27 @@ def shortest_paths(links: DataFrame, seeds: DataFrame, max_hops: int) -> DataFra
     return seen.df
 
 
-def cheapest_costs(links: DataFrame, seeds: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(id, cost) from the seeds with cost 1 / max(weight, 0.01) a link: relaxation until nothing gets cheaper."""
-    near = both_ways(links).select("id", "nbr", (1 / F.greatest("weight", F.lit(0.01))).alias("step"))
+def _steps(links: DataFrame) -> DataFrame:
+    """(id, nbr, step): links from both ends with their cost 1 / max(weight, 0.01), written once for all rounds."""
+    return write_stage(both_ways(links).select("id", "nbr", (1 / F.greatest("weight", F.lit(0.01))).alias("step")), "costs-links").df
+
+
+def cheapest_costs(links: DataFrame, seeds: DataFrame, without: DataFrame | None = None) -> DataFrame:
+    """(id, cost) from the seeds with cost 1 / max(weight, 0.01) a link: relaxation until nothing gets cheaper. Nodes of
+    ``without`` (id) are not passed."""
+    near = _steps(_without(links, without))
+    return _relaxed(near, seeds)
+
+
+def _without(links: DataFrame, gone: DataFrame | None) -> DataFrame:
+    if gone is None:
+        return links
+    return links.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b", "weight")
+
+
+def _relaxed(near: DataFrame, seeds: DataFrame) -> DataFrame:
     state = write_stage(seeds.select("id", F.lit(0.0).alias("cost"), F.lit(True).alias("moved")).distinct(), "costs")
-    for _ in range(max_rounds):
+    while state.df.where("moved").limit(1).count():
         s = state.df
         offer = s.where("moved").join(near, "id").groupBy(F.col("nbr").alias("id")).agg(F.min(F.col("cost") + F.col("step")).alias("offer"))
         both = s.select("id", "cost").join(offer, "id", "full")
@@ -78,38 +93,43 @@ def cheapest_costs(links: DataFrame, seeds: DataFrame, max_rounds: int = 64) ->
         following = write_stage(both.select("id", F.when(better, F.col("offer")).otherwise(F.col("cost")).alias("cost"), F.coalesce(better, F.lit(False)).alias("moved")), "costs")
         state.drop()
         state = following
-        if not state.df.where("moved").limit(1).count():
-            break
     return state.df.select("id", "cost")
 
 
-def k_paths(links: DataFrame, source: DataFrame, target: DataFrame, k: int, max_hops: int) -> DataFrame:
-    """The k cheapest simple paths of at most ``max_hops`` links from source to target: exact within that length.
+def k_paths(links: DataFrame, source: DataFrame, target: DataFrame, k: int, max_hops: int | None = None, without: DataFrame | None = None) -> DataFrame:
+    """(path, cost) of the k cheapest simple paths from source to target, of any length or of at most ``max_hops`` links;
+    nodes of ``without`` (id) are not passed.
 
-    Paths grow from both ends and meet in the middle, so either side holds paths of half the length only.
+    The costs to the target tell for every path begun what it costs at least. All simple paths are grown from the source
+    as long as that stays within a bound; the bound is raised until k paths are found or none was held back. A path within
+    the bound is never lost, so the k cheapest are exact, and only paths nearly as cheap as they are are ever made.
     """
-    near = both_ways(links).select("id", "nbr", (1 / F.greatest("weight", F.lit(0.01))).alias("step"))
-
-    def grow(seed: DataFrame, hops: int) -> list[Stage]:
-        levels = [write_stage(seed.select(F.col("id").alias("end"), F.array("id").alias("path"), F.lit(0.0).alias("cost")), "k-paths")]
-        for _ in range(hops):
-            p = levels[-1].df
-            step = p.join(near, p["end"] == near["id"]).where(~F.array_contains("path", F.col("nbr")))
-            levels.append(write_stage(step.select(F.col("nbr").alias("end"), F.concat("path", F.array("nbr")).alias("path"), (F.col("cost") + F.col("step")).alias("cost")), "k-paths"))
-        return levels
-
-    ahead, back = grow(source, (max_hops + 1) // 2), grow(target, max_hops // 2)
-    found = None
-    for i, x in enumerate(ahead):
-        for j, y in enumerate(back):
-            # a path of n links is put together once: from its first half, rounded up
-            if i not in (j, j + 1):
-                continue
-            right = y.df.select("end", F.col("path").alias("tail"), F.col("cost").alias("tail_cost"))
-            whole = x.df.join(right, "end").where(F.size(F.array_intersect("path", "tail")) == 1)
-            whole = whole.select(F.concat("path", F.slice(F.reverse("tail"), F.lit(2), F.size("tail"))).alias("path"), (F.col("cost") + F.col("tail_cost")).alias("cost"))
-            found = whole if found is None else found.unionByName(whole)
-    return found.select("path", F.round("cost", 6).alias("cost")).distinct().orderBy("cost", F.size("path"), F.concat_ws(",", "path")).limit(k)
+    near = _steps(_without(links, without))
+    ahead = write_stage(_relaxed(near, target), "k-paths-ahead").df.select("id", F.col("cost").alias("rest"))
+    goal = target.select(F.col("id").alias("goal")).distinct()
+    least = source.select("id").join(ahead, "id").agg(F.min("rest").alias("c")).first()["c"]
+    bound = (least or 0.0) * 1.2 + 1e-9
+    empty = source.select(F.array("id").alias("path"), F.lit(0.0).alias("cost")).where(F.lit(False))
+    if least is None:
+        return empty
+    while True:
+        level = write_stage(source.select("id", F.array("id").alias("path"), F.lit(0.0).alias("cost")).distinct(), "k-paths")
+        found, held, hops = [], 0, 0
+        while max_hops is None or hops <= max_hops:
+            p = level.df.crossJoin(F.broadcast(goal))
+            found.append(p.where("id = goal").select("path", "cost"))
+            step = p.where("id <> goal").select("id", "path", "cost").join(near, "id").where(~F.array_contains("path", F.col("nbr"))).join(ahead.withColumnRenamed("id", "nbr"), "nbr")
+            step = step.select(F.col("nbr").alias("id"), F.concat("path", F.array("nbr")).alias("path"), (F.col("cost") + F.col("step")).alias("cost"), "rest")
+            level = write_stage(step.withColumn("over", F.col("cost") + F.col("rest") > bound), "k-paths")
+            counts = level.df.agg(F.count_if("over").alias("held"), F.count_if(~F.col("over")).alias("kept")).first()
+            held, hops = held + counts["held"], hops + 1
+            if not counts["kept"]:
+                break
+            level = write_stage(level.df.where("not over").select("id", "path", "cost"), "k-paths")
+        out = write_stage(reduce(DataFrame.unionByName, found), "k-paths-found").df
+        if not held or out.count() >= k:
+            return out.select("path", F.round("cost", 6).alias("cost")).distinct().orderBy("cost", F.size("path"), F.concat_ws(",", "path")).limit(k)
+        bound *= 1.5
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
@@ -190,7 +210,7 @@ def structural_anomalies(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return n.select(F.explode(kinds).alias("kind"), "id")
 
 
-def betweenness(links: DataFrame, sources: DataFrame, max_hops: int = 64) -> DataFrame:
+def betweenness(links: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, betweenness) from the sources (id): forward counts of shortest paths by level, then dependencies backward.
 
     All sources run in one set of joins, keyed by (source, node): the number of sources is what bounds the state.
@@ -198,7 +218,7 @@ def betweenness(links: DataFrame, sources: DataFrame, max_hops: int = 64) -> Dat
     near = write_stage(both_ways(links).select("id", "nbr"), "between-links").df
     levels = [write_stage(sources.select(F.col("id").alias("source"), "id", F.lit(1.0).alias("sigma")).distinct(), "between")]
     seen = levels[0].df.select("source", "id")
-    for _ in range(max_hops):
+    while True:
         step = levels[-1].df.join(near, "id").groupBy("source", F.col("nbr").alias("id")).agg(F.sum("sigma").alias("sigma"))
         level = write_stage(step.join(seen, ["source", "id"], "left_anti"), "between")
         if not level.df.limit(1).count():
@@ -232,76 +252,44 @@ def normalised_betweenness(nodes: DataFrame, links: DataFrame, most: int) -> Dat
     return ids.join(betweenness(links, sources), "id", "left").select("id", (F.coalesce("betweenness", F.lit(0.0)) * scale).alias("betweenness"))
 
 
-def cut_links(links: DataFrame, max_component: int = 1_000_000) -> DataFrame:
-    """(a, b) whose removal splits a component: low-link numbers by depth-first search, one component at a time.
+def cut_links(links: DataFrame) -> DataFrame:
+    """(a, b) whose removal splits a component.
 
-    Leaves are peeled first, in rounds of joins: their links are cuts, and what is left of a sparse graph is small. The
-    cores are hashed to partitions by component; a core above ``max_component`` links is refused, not gathered.
+    A breadth-first tree of each component, one level a round. Every other link gets two random words of 64 bits, and a tree
+    link the exclusive or of all such words at the nodes below it: a link beside the tree whose ends both lie below cancels
+    out, so the word is 0 if and only if no link but this one leads up (with a chance of 2^-128 to be wrong). Only words move,
+    summed by node before each join, so no component is ever gathered.
     """
-    left = write_stage(links.select("a", "b"), "cuts")
-    cuts: list[Stage] = []
+    own = write_stage(links.select("a", "b"), "cuts").df
+    near = write_stage(both_ways(own.withColumn("weight", F.lit(1.0))).select("id", "nbr"), "cuts-near").df
+    roots = connected_components(own).df.where("id = label").select("id")
+    levels = [write_stage(roots.select("id", F.lit(None).cast("string").alias("parent")), "cuts-tree")]
+    seen = write_stage(roots, "cuts-seen")
     while True:
-        deg = both_ways(left.df.withColumn("weight", F.lit(1.0))).groupBy("id").agg(F.count("*").alias("n")).where("n = 1").select("id")
-        leaf = write_stage(left.df.join(deg.withColumnRenamed("id", "a"), "a", "left_semi").unionByName(left.df.join(deg.withColumnRenamed("id", "b"), "b", "left_semi")).distinct(), "cuts-leaf")
-        if not leaf.df.limit(1).count():
+        step = near.join(levels[-1].df.select("id"), "id").groupBy(F.col("nbr").alias("id")).agg(F.min("id").alias("parent")).join(seen.df, "id", "left_anti")
+        level = write_stage(step, "cuts-tree")
+        if not level.df.limit(1).count():
             break
-        cuts.append(leaf)
-        following = write_stage(left.df.join(leaf.df, ["a", "b"], "left_anti"), "cuts")
-        left.drop()
-        left = following
-    labels = connected_components(left.df).df
-    core = left.df.join(labels.select(F.col("id").alias("a"), "label"), "a")
-    sizes = core.groupBy("label").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    if sizes > max_component:
-        raise ValueError(f"a component's core has {sizes} links; the limit for one task is {max_component}")
-    ship_package(links.sparkSession)
-    inner = core.repartition("label").sortWithinPartitions("label", "a", "b").mapInPandas(_low_links, "a string, b string")
-    for c in cuts:
-        inner = inner.unionByName(c.df.select("a", "b"))
-    return inner
-
-
-def _low_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    label, group = None, []
-    out: list[tuple[str, str]] = []
-    for b in batches:
-        for r in b.itertuples(index=False):
-            if r.label != label:
-                out += bridges_of(group)
-                label, group = r.label, []
-            group.append((r.a, r.b))
-    out += bridges_of(group)
-    yield pd.DataFrame(out, columns=["a", "b"])
-
-
-def bridges_of(links: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    near: dict[str, list[str]] = {}
-    for a, b in links:
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    number: dict[str, int] = {}
-    low: dict[str, int] = {}
-    found = []
-    for root in near:
-        if root in number:
-            continue
-        number[root] = low[root] = len(number)
-        stack = [(root, "", iter(near[root]))]
-        while stack:
-            node, parent, rest = stack[-1]
-            nxt = next(rest, None)
-            if nxt is None:
-                stack.pop()
-                if stack:
-                    low[parent] = min(low[parent], low[node])
-                    if low[node] > number[parent]:
-                        found.append((min(parent, node), max(parent, node)))
-            elif nxt not in number:
-                number[nxt] = low[nxt] = len(number)
-                stack.append((nxt, node, iter(near[nxt])))
-            elif nxt != parent:
-                low[node] = min(low[node], number[nxt])
-    return found
+        levels.append(level)
+        following = write_stage(seen.df.unionByName(level.df.select("id")), "cuts-seen")
+        seen.drop()
+        seen = following
+    ends = lambda df: df.select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b"))
+    tree = reduce(DataFrame.unionByName, (ends(x.df.where("parent is not null")) for x in levels))
+    words = [F.xxhash64("a", "b", F.lit(k)).alias(f"w{k}") for k in (1, 2)]
+    rest = own.join(tree, ["a", "b"], "left_anti").select("a", "b", *words)
+    at = F.explode(F.array("a", "b")).alias("id")
+    marks = write_stage(rest.select(at, "w1", "w2").groupBy("id").agg(F.expr("bit_xor(w1)").alias("w1"), F.expr("bit_xor(w2)").alias("w2")), "cuts-words").df
+    below, cuts = None, []
+    for level in reversed(levels[1:]):
+        parts = marks.join(level.df.select("id"), "id", "left_semi")
+        if below is not None:
+            parts = parts.unionByName(below.df.groupBy(F.col("parent").alias("id")).agg(F.expr("bit_xor(w1)").alias("w1"), F.expr("bit_xor(w2)").alias("w2")))
+        total = parts.groupBy("id").agg(F.expr("bit_xor(w1)").alias("w1"), F.expr("bit_xor(w2)").alias("w2"))
+        zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+        below = write_stage(level.df.join(total, "id", "left").select("id", "parent", zero("w1"), zero("w2")), "cuts-below")
+        cuts.append(ends(below.df.where("w1 = 0 and w2 = 0")))
+    return reduce(DataFrame.unionByName, cuts) if cuts else own
 
 
 def chains(edges: DataFrame, seeds: DataFrame, edge_types: tuple[str, ...], max_depth: int) -> DataFrame:

@@ -63,8 +63,16 @@ def cheapest_costs(spark, d):
 def three_paths(spark, d):
     two = seeds(spark, d, "GOAL", 2)
     low = two.agg(F.min("id").alias("id"), F.max("id").alias("other"))
-    own = links(spark, d).where((F.col("a") != lk.OWNER) & (F.col("b") != lk.OWNER))
-    return g.k_paths(own, low.select("id"), low.select(F.col("other").alias("id")), 3, 4).select(F.concat_ws(",", "path").alias("path"), "cost")
+    return g.k_paths(links(spark, d), low.select("id"), low.select(F.col("other").alias("id")), 3).select(F.concat_ws(",", "path").alias("path"), "cost")
+
+
+@query("three_paths_aside")
+def three_paths_aside(spark, d):
+    """The same paths where the owner is not to be passed."""
+    two = seeds(spark, d, "GOAL", 2)
+    low = two.agg(F.min("id").alias("id"), F.max("id").alias("other"))
+    owner = spark.createDataFrame([(lk.OWNER,)], "id string")
+    return g.k_paths(links(spark, d), low.select("id"), low.select(F.col("other").alias("id")), 3, without=owner).select(F.concat_ws(",", "path").alias("path"), "cost")
 
 
 _FLOW = f"""flow AS MATERIALIZED (SELECT s, x, w / sum(w) OVER (PARTITION BY s) AS share FROM (SELECT s, x, coalesce(max(weight), 1.0) AS w FROM (SELECT source_id AS s, target_id AS x, weight FROM edges UNION ALL SELECT target_id, source_id, weight FROM edges WHERE bidirectional) WHERE s <> x AND s IN (SELECT id FROM {LIVE}) AND x IN (SELECT id FROM {LIVE}) GROUP BY s, x)),
