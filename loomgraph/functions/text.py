@@ -34,7 +34,7 @@ def _words(values: tuple[str, ...]) -> Column:
 
 def entity_names(query: Column) -> Column:
     """Capitalised words that are likely names, without punctuation and possessive, in order."""
-    clean = F.transform(F.split(query, r"\s+"), lambda w: F.regexp_replace(F.regexp_replace(w, r"""[.,;:!?'"]+$""", ""), "['’]s$", ""))
+    clean = F.transform(F.split(query, r"(?U)\s+"), lambda w: F.regexp_replace(F.regexp_replace(w, r"""[.,;:!?'"]+$""", ""), "['’]s$", ""))
     return F.filter(clean, lambda w: w.rlike(r"^\p{Lu}.") & ~F.array_contains(_words(NO_NAMES), w))
 
 
@@ -42,13 +42,13 @@ def question_focus(query: Column) -> Column:
     """The words of a question that are neither function words nor names, null if none is left."""
     text = F.regexp_replace(F.lower(F.trim(F.regexp_replace(query, r"[?!.]+$", ""))), "['’]s\\b", "")
     names = F.transform(entity_names(query), F.lower)
-    left = F.filter(F.split(text, r"\s+"), lambda w: (w != "") & ~F.array_contains(_words(NO_FOCUS), w) & ~F.array_contains(names, w))
+    left = F.filter(F.split(text, r"(?U)\s+"), lambda w: (w != "") & ~F.array_contains(_words(NO_FOCUS), w) & ~F.array_contains(names, w))
     return F.nullif(F.array_join(left, " "), F.lit(""))
 
 
 def dossier_intent(query: Column) -> Column:
     """'explore', 'profile' or 'question': what a question about entities wants."""
-    words = F.split(F.lower(query), r"\s+")
+    words = F.split(F.lower(query), r"(?U)\s+")
     asks = F.arrays_overlap(words, _words(QUESTION_WORDS)) | F.contains(query, F.lit("?"))
     explore = query.rlike(r"(?i)\bpath\s+between\b|\bconnections?\s+between\b|\bhow\s+(?:are|is)\s+\w+\s+(?:and|&)\s+\w+\s+(?:connected|related|linked)\b")
     profile = query.rlike(r"(?i)^(?:who\s+is\b|tell\s+me\s+about\b|show\s+me\b|details?\s+(?:on|for|about)\b)")
