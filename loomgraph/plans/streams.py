@@ -21,12 +21,12 @@ def _events(spark, d):
 
 @query("stream_tumbling", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS \"start\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, d):
-    return ev.drain(ev.windowed(_events(spark, d), "6 hours"), "tumbling", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return ev.drain(ev.windowed(_events(spark, d), "6 hours"), "tumbling", "update", ["start", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("stream_sliding", "SELECT s AS \"start\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY 1, 2")
 def stream_sliding(spark, d):
-    return ev.drain(ev.windowed(_events(spark, d), "2 hours", "1 hour"), "sliding", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return ev.drain(ev.windowed(_events(spark, d), "2 hours", "1 hour"), "sliding", "update", ["start", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("stream_sessions", "SELECT user_id, min(ts) AS \"start\", max(ts) + INTERVAL 4 HOUR AS \"end\", count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 4 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY user_id, session")
@@ -35,6 +35,18 @@ def stream_sessions(spark, d):
     return s.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
+@query("stream_tumbling_closed", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS \"start\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 6 HOUR, min(ts)) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
+def stream_tumbling_closed(spark, d):
+    """Windows that the watermark has passed, each once: state and rows behind it are gone."""
+    return ev.drain(ev.windowed(_events(spark, d), "6 hours"), "closed", "append").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("stream_sessions_closed", "SELECT user_id, min(ts) AS \"start\", max(ts) + INTERVAL 4 HOUR AS \"end\", count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 4 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY user_id, session HAVING max(ts) + INTERVAL 4 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
+def stream_sessions_closed(spark, d):
+    s = ev.drain(ev.sessions(_events(spark, d), "4 hours"), "sessions-closed", "append")
+    return s.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+
+
 @query("stream_deduplicated", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
 def stream_deduplicated(spark, d):
     twice = _events(spark, d).union(_events(spark, d))

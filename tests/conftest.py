@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from loomgraph.runtime import drop_stages
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -16,6 +18,7 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    drop_stages(s)
     s.stop()
 
 

@@ -1,4 +1,7 @@
 import json
+import math
+import time
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,15 +80,50 @@ def test_scores(spark):
     assert one(sc.decay(at("2024-01-01"), at("2024-01-31"), F.lit(0.05), F.lit(0))) == pytest.approx(0.22313016)
     assert one(sc.decay(at("2024-02-01"), at("2024-01-31"), F.lit(0.05), F.lit(0))) == 1.0
     assert one(sc.name_similarity(F.lit("Sam Chen"), F.lit("sam chen "))) == 1.0
-    assert one(sc.name_similarity(F.lit("Sam Chen"), F.lit("Sam Lee"))) == 0.85
+    for a, b, want in [("Sam Chen", "Sam Lee", 0.2), ("Eddy", "Eddy Paez", 0.85), ("Eddy Paez", "eddy", 0.85), ("Aisha", "Dr Aisha Nakamura", 0.7), ("Carlos Rivera", "Rivera Carlos", 0.6), ("", "x", 0.0), ("x y", "z", 0.0), ("abcdefghi", "abcdefghij", 0.9)]:
+        assert one(sc.name_similarity(F.lit(a), F.lit(b))) == pytest.approx(want), (a, b)
     assert one(sc.review_fold(F.array(F.lit(5), F.lit(5), F.lit(5)))["interval_days"]) == 16
     assert one(sc.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0)))) == 0.0
     assert one(sc.tightest_window(F.lit(-1))) is None and one(sc.tightest_window(F.lit(2))) == 3
 
 
+def test_relevance_of_active_and_dated_nodes(spark):
+    """An open commitment and a future event stay at 1; the latest of access, own date and creation is the anchor; the first
+    known network gives the rate, 0.01 without one."""
+    node = "id string, node_type string, properties string, networks array<string>, last_accessed timestamp, created_at timestamp, access_count int"
+    old, late = datetime(2024, 1, 1), datetime(2024, 1, 21)
+    rows = [
+        ("open", "COMMITMENT", '{"status": "Open"}', ["SOCIAL"], None, old, 0),
+        ("ahead", "EVENT", '{"event_date": "2030-01-01"}', None, None, old, 0),
+        ("own", "EVENT", '{"event_date": "2024-01-11T00:00:00+00:00"}', ["ODD", "SOCIAL"], None, old, 0),
+        ("read", "NOTE", None, ["ACADEMIC"], late, old, 0),
+        ("plain", "NOTE", None, [], None, old, None),
+        ("often", "NOTE", None, ["ACADEMIC"], None, old, 9),
+    ]
+    got = {r.id: r.v for r in spark.createDataFrame(rows, node).select("id", sc.relevance(F.lit("2024-01-31").cast("timestamp")).alias("v")).collect()}
+    e = math.exp
+    want = {"open": 1.0, "ahead": 1.0, "own": e(-0.07 * 20), "read": e(-0.05 * 10), "plain": e(-0.01 * 30), "often": e(-0.05 / (1 + math.log(10)) * 30)}
+    assert got == pytest.approx(want)
+
+
 def test_fan_out(spark, tmp_path, sf):
     stream = ev.read_events(spark, f"{sf}/events.parquet")
     ev.fan_out(stream, {"all": ("*", f"{tmp_path}/all"), "p": ("purchase", f"{tmp_path}/p")}, f"{tmp_path}/check")
     assert spark.read.parquet(f"{tmp_path}/all").count() == spark.read.parquet(f"{sf}/events.parquet").count()
     assert spark.read.parquet(f"{tmp_path}/p").select("event_type").distinct().collect()[0][0] == "purchase"
     assert not spark.range(1).select(F.lit("a.b").alias("event_type")).where(~ev.matches("a.*")).count()
+
+
+def test_late_rows_fall_behind_the_watermark(spark, tmp_path):
+    """Four files, one a trigger: a row behind the watermark of the trigger before is left out, one within it counts."""
+    at = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    files = [[(1, at(0, 5)), (2, at(0, 50))], [(3, at(3, 0)), (4, at(2, 55))], [(8, at(3, 1))], [(5, at(0, 10)), (6, at(2, 52)), (7, at(9, 0))]]
+    for k, rows in enumerate(files):
+        df = spark.createDataFrame([(i, t, 1, "click", 1.0, None) for i, t in rows], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken in order of their time
+    stream = ev.read_events(spark, str(tmp_path / "in"), files_per_trigger=1)
+    closed = {(r.start.hour, r.n) for r in ev.drain(ev.windowed(stream, "1 hour"), "late", "append").collect()}
+    assert closed == {(0, 2), (2, 2), (3, 2)}  # event 5 came too late for hour 0, event 6 was in time for hour 2
+    sessions = sorted((r.start.hour, r.n) for r in ev.drain(ev.sessions(stream, "30 minutes"), "late-sessions", "append").collect())
+    assert sessions == [(0, 1), (0, 1), (2, 4)]
