@@ -283,3 +283,61 @@ def owner_links_made(spark, d):
 
     near = g.shortest_paths(gq.links(spark, d), spark.createDataFrame([(lk.OWNER,)], "id string"), 4).select("id")
     return rc.owner_edges(lk.live(t(spark, d, "nodes")).where(F.col("id") != lk.OWNER).join(near, "id", "left_anti")).select("source_id", "target_id", "edge_type", "weight")
+
+
+# --- values of captures -----------------------------------------------------------------------------------------------
+_DOW = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+_MENTION = r"\b(today|tomorrow|yesterday|next (?:monday|tuesday|wednesday|thursday|friday|saturday|sunday|week)|in [0-9]+ days|end of the month)\b"
+
+
+@query(
+    "date_values",
+    f"""SELECT id, mention, CASE WHEN mention = 'today' THEN day WHEN mention = 'tomorrow' THEN day + 1 WHEN mention = 'yesterday' THEN day - 1 WHEN mention = 'next week' THEN day + 7 WHEN mention = 'end of the month' THEN last_day(day) WHEN starts_with(mention, 'in ') THEN day + TRY_CAST(regexp_extract(mention, '([0-9]+)', 1) AS INT)
+ELSE day + (((CASE substr(mention, 6) {' '.join(f"WHEN '{w}' THEN {k}" for k, w in enumerate(_DOW))} END - (isodow(day) - 1) + 6) % 7) + 1)::INT END::DATE AS day FROM (SELECT id, created_at::DATE AS day, unnest(list_distinct(regexp_extract_all(lower(raw_content), '{_MENTION}', 1))) AS mention FROM captures WHERE raw_content IS NOT NULL AND created_at IS NOT NULL)""",
+)
+def date_values(spark, d):
+    """The days that captures speak of, counted from the day they were made."""
+    from loomgraph.operators.views import date_references
+
+    m = t(spark, d, "captures").where("raw_content is not null and created_at is not null").select("id", F.to_date("created_at").alias("day"), F.explode(date_references(F.col("raw_content"))).alias("mention"))
+    day, mention = F.col("day"), F.col("mention")
+    wanted = F.array_position(F.array(*map(F.lit, _DOW)), F.substring(mention, 6, 10)).cast("int") - 1
+    ahead = F.pmod(wanted - F.weekday(day) + 6, F.lit(7)) + 1
+    value = (
+        F.when(mention == "today", day)
+        .when(mention == "tomorrow", F.date_add(day, 1))
+        .when(mention == "yesterday", F.date_sub(day, 1))
+        .when(mention == "next week", F.date_add(day, 7))
+        .when(mention == "end of the month", F.last_day(day))
+        .when(mention.startswith("in "), F.date_add(day, F.regexp_extract(mention, "([0-9]+)", 1).try_cast("int")))
+        .otherwise(F.date_add(day, ahead.cast("int")))
+    )
+    return m.select("id", "mention", value.alias("day"))
+
+
+@query("money_values", r"SELECT id, count(*) AS n, round(sum(TRY_CAST(replace(replace(amount, '$', ''), ',', '') AS DOUBLE)), 2) AS total FROM (SELECT id, unnest(regexp_extract_all(raw_content, '(\$[0-9][0-9,]*(?:\.[0-9]+)?)', 1)) AS amount FROM captures WHERE raw_content IS NOT NULL) GROUP BY id")
+def money_values(spark, d):
+    """Sums of money in captures as numbers."""
+    from loomgraph.functions.scores import money
+
+    a = t(spark, d, "captures").where("raw_content is not null").select("id", F.explode(money(F.col("raw_content"))).alias("amount"))
+    return a.groupBy("id").agg(F.count("*").alias("n"), F.round(F.sum(F.regexp_replace("amount", "[$,]", "").try_cast("double")), 2).alias("total"))
+
+
+@query("capture_context", f"WITH n AS ({SQL['entities_named']}) SELECT capture_id, id, 0 AS hop FROM n UNION ALL SELECT DISTINCT n.capture_id, e.other_id, 1 FROM n JOIN {r.SYM.format('edges')} e ON e.node_id = n.id JOIN {LIVE} o ON o.id = e.other_id WHERE NOT EXISTS (SELECT 1 FROM n m WHERE m.capture_id = n.capture_id AND m.id = e.other_id)")
+def capture_context(spark, d):
+    """What a capture names, and what stands next to it."""
+    named = entities_named(spark, d)
+    near = lk.symmetric(t(spark, d, "edges")).select(F.col("node_id").alias("id"), "other_id").distinct().join(lk.live(t(spark, d, "nodes")).select(F.col("id").alias("other_id")), "other_id", "left_semi")
+    next_to = named.join(near, "id").select("capture_id", F.col("other_id").alias("id")).distinct().join(named, ["capture_id", "id"], "left_anti")
+    return named.select("capture_id", "id", F.lit(0).alias("hop")).unionByName(next_to.select("capture_id", "id", F.lit(1).alias("hop")))
+
+
+@query("node_value_breaks", f"SELECT node_type, 'currency' AS member, count(*) AS n FROM {LIVE} WHERE {P.format('currency')} IS NOT NULL AND NOT regexp_full_match({P.format('currency')}, '[A-Z]{{3}}') GROUP BY 1 UNION ALL SELECT node_type, 'url', count(*) FROM {LIVE} WHERE {P.format('url')} IS NOT NULL AND NOT regexp_matches({P.format('url')}, '^https?://\\S+$') GROUP BY 1 UNION ALL SELECT node_type, 'website', count(*) FROM {LIVE} WHERE {P.format('website')} IS NOT NULL AND NOT regexp_matches({P.format('website')}, '^https?://\\S+$') GROUP BY 1")
+def node_value_breaks(spark, d):
+    """Members whose value is not of the type declared for it, by type of node."""
+    from loomgraph.functions import ontology as on
+
+    kinds = {"currency": "CURRENCY_CODE", "url": "URL", "website": "URL"}
+    bad = F.array_compact(F.array(*(F.when(lk.prop(m).isNotNull() & ~F.coalesce(on.valid_value(k, lk.prop(m)), F.lit(False)), m) for m, k in kinds.items())))
+    return lk.live(t(spark, d, "nodes")).select("node_type", F.explode(bad).alias("member")).groupBy("node_type", "member").agg(F.count("*").alias("n"))

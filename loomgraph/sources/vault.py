@@ -108,3 +108,8 @@ def html_text(html: Column) -> Column:
     for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(name), F.lit(sign))
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+def sync_all(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """Captures of every connector that reads below ``path``, notes and calendars, each marked in its metadata."""
+    return note_captures(read_notes(spark, path, since)).unionByName(calendar_captures(read_calendars(spark, path, since)), allowMissingColumns=True)

@@ -127,3 +127,22 @@ def test_late_rows_fall_behind_the_watermark(spark, tmp_path):
     assert closed == {(0, 2), (2, 2), (3, 2)}  # event 5 came too late for hour 0, event 6 was in time for hour 2
     sessions = sorted((r.start.hour, r.n) for r in ev.drain(ev.sessions(stream, "30 minutes"), "late-sessions", "append").collect())
     assert sessions == [(0, 1), (0, 1), (2, 4)]
+
+
+def test_all_connectors_at_once(spark, tmp_path):
+    (tmp_path / "a.md").write_text("---\ntitle: T\n---\nbody")
+    (tmp_path / "b.ics").write_text("BEGIN:VCALENDAR\nBEGIN:VEVENT\nUID:1\nSUMMARY:S\nDTSTART:20240101T100000Z\nDTEND:20240101T110000Z\nEND:VEVENT\nEND:VCALENDAR\n")
+    got = {json.loads(r.metadata)["connector"]: r.raw_content for r in vault.sync_all(spark, str(tmp_path)).collect()}
+    assert got.keys() == {"markdown", "calendar"} and "body" in got["markdown"] and "Calendar Event: S" in got["calendar"]
+
+
+def test_migrations(spark):
+    from loomgraph.sources import migrations as mg
+
+    old = spark.createDataFrame([("a", None)], "id string, tags array<string>")
+    new = mg.upgraded(old, "nodes")
+    assert new.columns == ["id", "tags", "review_date", "deleted"] and dict(new.dtypes)["deleted"] == "boolean" and new.first().deleted is None
+    assert mg.upgraded(new, "nodes").columns == new.columns and mg.upgraded(old, "nodes", to=2).columns == ["id", "tags", "review_date"]
+    assert mg.taken_back(new, "nodes", 2).columns == ["id", "tags", "review_date"] and mg.taken_back(new, "nodes", 1).columns == ["id"]
+    done = spark.createDataFrame([(2,), (3,)], "version int")
+    assert {r.version for r in mg.versions(spark, done).collect()} == {4, 5} and mg.versions(spark).count() == len(mg.STEPS)
