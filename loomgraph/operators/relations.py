@@ -56,7 +56,7 @@ def strongest_ties(edges: DataFrame, nodes: DataFrame, node_type: str = "PERSON"
 def shared_neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Ids that are adjacent to all seeds: one count of distinct seeds, however many there are."""
     seed = seeds.select(F.col("id").alias("node_id")).distinct()
-    near = symmetric(edges).select("node_id", "other_id").join(F.broadcast(seed), "node_id", "left_semi").distinct()
+    near = symmetric(edges).select("node_id", "other_id").join(seed, "node_id", "left_semi").distinct()
     return near.groupBy("other_id").agg(F.count("*").alias("n_seeds")).join(seed.select(F.col("node_id").alias("other_id")), "other_id", "left_anti").crossJoin(F.broadcast(seed.agg(F.count("*").alias("wanted")))).where("n_seeds = wanted").select(F.col("other_id").alias("id"), "n_seeds")
 
 

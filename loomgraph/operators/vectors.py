@@ -78,13 +78,13 @@ def bm25(documents: DataFrame, queries: DataFrame, key: str, text: str, k1: floa
     wanted = queries.select("query", "term").distinct()
     words = documents.where(F.col(text).isNotNull()).select(key, terms(F.col(text)).alias("words"))
     stats = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("mean"))
-    hits = words.select(key, F.size("words").alias("length"), F.explode("words").alias("term")).join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+    hits = words.select(key, F.size("words").alias("length"), F.explode("words").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     tf = hits.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     scored = tf.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("part", part)
-    return scored.join(F.broadcast(wanted), "term").groupBy("query", key).agg(F.sum("part").alias("score"))
+    return scored.join(wanted, "term").groupBy("query", key).agg(F.sum("part").alias("score"))
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, keys: list[str], alpha: float = 0.5) -> DataFrame:
