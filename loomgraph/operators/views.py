@@ -29,11 +29,21 @@ def profile(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFra
 
 
 def compare(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(a, b, shared, only_a, only_b): sizes of the neighbours of both, of one and of the other."""
-    near = symmetric(edges).select("node_id", "other_id").where("other_id is not null").distinct()
-    marked = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("node_id"), F.lit(1).alias("side")), F.struct(F.col("b").alias("node_id"), F.lit(2).alias("side")))).alias("s")).select("a", "b", "s.*")
-    met = marked.join(near, "node_id").groupBy("a", "b", "other_id").agg(F.sum("side").alias("sides"))
-    return met.groupBy("a", "b").agg(F.count_if(F.col("sides") == 3).alias("shared"), F.count_if(F.col("sides") == 1).alias("only_a"), F.count_if(F.col("sides") == 2).alias("only_b"))
+    """(a, b, shared, only_a, only_b): sizes of the neighbours of both, of one and of the other.
+
+    Only the end with fewer neighbours is opened, and its neighbours are looked up among the other's; the rest are the
+    differences to the ends' degrees, so a hub is never opened for each of its pairs.
+    """
+    near = symmetric(edges).select("node_id", "other_id").where("node_id is not null and other_id is not null").distinct()
+    degree = near.groupBy("node_id").agg(F.count("*").alias("n"))
+    of = lambda s: degree.select(F.col("node_id").alias(s), F.col("n").alias(f"n_{s}"))
+    sized = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", *(F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("n_a", "n_b"))).where("n_a + n_b > 0")
+    smaller = F.col("n_a") <= F.col("n_b")
+    ends = sized.select("a", "b", F.when(smaller, F.col("a")).otherwise(F.col("b")).alias("few"), F.when(smaller, F.col("b")).otherwise(F.col("a")).alias("many"))
+    opened = ends.join(near.select(F.col("node_id").alias("few"), "other_id"), "few")
+    shared = opened.join(near.select(F.col("node_id").alias("many"), "other_id"), ["many", "other_id"]).groupBy("a", "b").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    return sized.join(shared, ["a", "b"], "left").select("a", "b", n.alias("shared"), (F.col("n_a") - n).alias("only_a"), (F.col("n_b") - n).alias("only_b"))
 
 
 def unlinked_siblings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
