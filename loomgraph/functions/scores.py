@@ -111,11 +111,15 @@ def tightest_window(days_left: Column, windows: tuple[int, ...] = (1, 3, 7)) ->
     return F.when(days_left >= 0, out)
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """1 if equal; 0.85 if one is a single word and the other begins with it; for containment the share of lengths, 0.7 at
-    least; else 0.6 of the words' Jaccard index. An empty name is like none."""
-    x, y = F.trim(F.lower(a)), F.trim(F.lower(b))
-    wx, wy = F.split(x, r"\s+"), F.split(y, r"\s+")
+def name_form(name: Column) -> Column:
+    """What names are compared by: struct(text, words)."""
+    text = F.trim(F.lower(name))
+    return F.struct(text.alias("text"), F.split(text, r"\s+").alias("words"))
+
+
+def form_similarity(a: Column, b: Column) -> Column:
+    """``name_similarity`` of two forms."""
+    x, y, wx, wy = a["text"], b["text"], a["words"], b["words"]
     first = (wx[0] == wy[0]) & ((F.size(wx) == 1) != (F.size(wy) == 1))
     share = F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))
     contained = F.contains(x, y) | F.contains(y, x)
@@ -123,6 +127,12 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(first, 0.85).when(contained, F.greatest(F.lit(0.7), share)).otherwise(0.6 * jaccard)
 
 
+def name_similarity(a: Column, b: Column) -> Column:
+    """1 if equal; 0.85 if one is a single word and the other begins with it; for containment the share of lengths, 0.7 at
+    least; else 0.6 of the words' Jaccard index. An empty name is like none."""
+    return form_similarity(name_form(a), name_form(b))
+
+
 def overlap_share(a: Column, b: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.greatest(F.size(a), F.size(b)), F.lit(0)), F.lit(0.0))
 

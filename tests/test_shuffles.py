@@ -1,5 +1,6 @@
 """Pairs of a hub are not shuffled: values against plain Python or SQL, and the rows that the stages write for others."""
 
+from loomgraph.operators import resolution as rs
 from loomgraph.operators import views
 
 
@@ -30,3 +31,22 @@ def test_comparison_opens_the_smaller_end(spark):
     found, rows = shuffled(spark, lambda: views.compare(spark.createDataFrame(pairs, "a string, b string"), e))
     assert {(r.a, r.b): (r.shared, r.only_a, r.only_b) for r in found} == {(a, b): (len(near[a] & near[b]), len(near[a] - near[b]), len(near[b] - near[a])) for a, b in pairs}
     assert rows < 20_000  # 300 * 300 neighbours of the hub before
+
+
+def test_resolution_of_a_frequent_word(spark):
+    n = 150
+    node = "id string, node_type string, title string, properties string, networks array<string>, created_at timestamp"
+    make = lambda s: spark.range(n).selectExpr(f"concat('{s}', id) as id", "'CONCEPT' as node_type", f"concat('the {s} ', id % 7) as title", "cast(null as string) as properties", "array('A') as networks", "timestamp'2024-01-01' as created_at").to(spark.createDataFrame([], node).schema)
+    edges = spark.createDataFrame([(f"{s}{i}", f"m{i % 3}") for s in ("new", "old") for i in range(0, n, 2)], "source_id string, target_id string")
+    found, rows = shuffled(spark, lambda: rs.decisions(make("new"), rs.combined(rs.signals(make("new"), make("old"), edges))))
+    assert rows < 10_000  # 150 * 150 pairs, and again for each signal, before
+    best = {r.new_id: r.old_id for r in found}
+    # the same last word counts most, then a neighbour in common, then the smaller id
+    rank = lambda i, j: (-(i % 7 == j % 7), -(i % 2 == j % 2 == 0 and i % 3 == j % 3), f"old{j}")
+    top = {f"new{i}": min(range(n), key=lambda j: rank(i, j)) for i in range(n)}
+    scores = {(r.new_id, r.old_id): r for r in rs.signals(make("new"), make("old"), edges).collect()}
+    assert len(scores) == n * n
+    for i in range(n):
+        assert scores[f"new{i}", f"old{top[f'new{i}']}"].shared_relationships == float(i % 2 == 0)
+        assert best[f"new{i}"] in (None, f"old{top[f'new{i}']}")
+    assert all(r.shared_relationships == float(int(r.new_id[3:]) % 2 == int(r.old_id[3:]) % 2 == 0 and int(r.new_id[3:]) % 3 == int(r.old_id[3:]) % 3) for r in scores.values())
