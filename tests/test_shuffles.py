@@ -50,3 +50,11 @@ def test_resolution_of_a_frequent_word(spark):
         assert scores[f"new{i}", f"old{top[f'new{i}']}"].shared_relationships == float(i % 2 == 0)
         assert best[f"new{i}"] in (None, f"old{top[f'new{i}']}")
     assert all(r.shared_relationships == float(int(r.new_id[3:]) % 2 == int(r.old_id[3:]) % 2 == 0 and int(r.new_id[3:]) % 3 == int(r.old_id[3:]) % 3) for r in scores.values())
+
+
+def test_signals_and_scores_of_pairs_are_not_shuffled(spark):
+    make = lambda s: spark.range(120).selectExpr(f"concat('{s}', id) as id", "'CONCEPT' as node_type", f"concat('the {s} ', id) as title", "cast(null as string) as properties", "array('A') as networks", "timestamp'2024-01-01' as created_at")
+    edges = spark.createDataFrame([("new1", "m"), ("new1", "k"), ("old2", "m")], "source_id string, target_id string")
+    found, rows = shuffled(spark, lambda: rs.combined(rs.signals(make("new"), make("old"), edges)))
+    assert len(found) == 120 * 120 and rows < 5_000
+    assert {(r.new_id, r.old_id): r.shared_relationships for r in found if r.shared_relationships} == {("new1", "old2"): 0.5}
