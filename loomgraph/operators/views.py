@@ -46,6 +46,32 @@ def compare(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return sized.join(shared, ["a", "b"], "left").select("a", "b", n.alias("shared"), (F.col("n_a") - n).alias("only_a"), (F.col("n_b") - n).alias("only_b"))
 
 
+def context(named: DataFrame, near: DataFrame, block: int = 1000) -> DataFrame:
+    """(capture_id, id): what stands next (near: id, other_id, each once) to anything that a capture names (named: capture_id,
+    id), without what it names, each once.
+
+    The neighbours of the named node that has most are written as they are joined, in blocks of about ``block`` neighbours by
+    five times as many captures; those of the others are added where they don't stand next to it. So the pairs of a hub and
+    the captures that name it are never shuffled.
+    """
+    named = named.distinct()
+    degree = near.groupBy("id").agg(F.count("*").alias("degree"))
+    ranked = named.join(degree, "id").withColumn("r", F.row_number().over(Window.partitionBy("capture_id").orderBy(F.desc("degree"), "id")))
+    first = ranked.where("r = 1").select("capture_id", F.col("id").alias("first"), "degree")
+    inside = named.join(first.select("capture_id", "first"), "capture_id").join(near.select(F.col("id").alias("first"), F.col("other_id").alias("id")), ["first", "id"])
+    skip = inside.groupBy("capture_id").agg(F.collect_list("id").alias("skip"))
+    size = first.groupBy("first").agg(F.ceil(F.count("*") / (5 * block)).cast("int").alias("rows"), F.ceil(F.max("degree") / block).cast("int").alias("columns"))
+    place = lambda c, n: F.pmod(F.hash(c), F.col(n)).alias(f"of_{n}")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(f"of_{n}")
+    left = first.join(size, "first").join(skip, "capture_id", "left").select("first", "capture_id", "skip", place("capture_id", "rows"), every("columns"))
+    right = near.withColumnRenamed("id", "first").join(size, "first").select("first", "other_id", every("rows"), place("other_id", "columns"))
+    key, n = ["first", "of_rows", "of_columns"], int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = left.repartition(n, *key).join(right.repartition(n, *key), key).where(F.col("skip").isNull() | ~F.array_contains("skip", F.col("other_id"))).select("capture_id", F.col("other_id").alias("id"))
+    rest = ranked.where("r > 1").select("capture_id", "id").join(near, "id").select("capture_id", F.col("other_id").alias("id")).distinct().join(named, ["capture_id", "id"], "left_anti")
+    rest = rest.join(first.select("capture_id", "first"), "capture_id").join(near.select(F.col("id").alias("first"), F.col("other_id").alias("id")), ["first", "id"], "left_anti")
+    return most.unionByName(rest.select("capture_id", "id"))
+
+
 def unlinked_siblings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(source_capture_id, id): nodes of a capture with several that no edge ties to another node of that capture."""
     own = live(nodes).where("source_capture_id is not null").select("id", "source_capture_id")

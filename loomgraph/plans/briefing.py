@@ -327,10 +327,13 @@ def money_values(spark, d):
 @query("capture_context", f"WITH n AS ({SQL['entities_named']}) SELECT capture_id, id, 0 AS hop FROM n UNION ALL SELECT DISTINCT n.capture_id, e.other_id, 1 FROM n JOIN {r.SYM.format('edges')} e ON e.node_id = n.id JOIN {LIVE} o ON o.id = e.other_id WHERE NOT EXISTS (SELECT 1 FROM n m WHERE m.capture_id = n.capture_id AND m.id = e.other_id)")
 def capture_context(spark, d):
     """What a capture names, and what stands next to it."""
-    named = entities_named(spark, d)
-    near = lk.symmetric(t(spark, d, "edges")).select(F.col("node_id").alias("id"), "other_id").distinct().join(lk.live(t(spark, d, "nodes")).select(F.col("id").alias("other_id")), "other_id", "left_semi")
-    next_to = named.join(near, "id").select("capture_id", F.col("other_id").alias("id")).distinct().join(named, ["capture_id", "id"], "left_anti")
-    return named.select("capture_id", "id", F.lit(0).alias("hop")).unionByName(next_to.select("capture_id", "id", F.lit(1).alias("hop")))
+    from loomgraph.operators.views import context
+    from loomgraph.runtime import write_stage
+
+    named = write_stage(entities_named(spark, d), "context-named").df
+    ends = lk.symmetric(t(spark, d, "edges")).select(F.col("node_id").alias("id"), "other_id").join(named.select("id").distinct(), "id", "left_semi").distinct()
+    near = write_stage(ends.join(lk.live(t(spark, d, "nodes")).select(F.col("id").alias("other_id")), "other_id", "left_semi"), "context-near").df
+    return named.select("capture_id", "id", F.lit(0).alias("hop")).unionByName(context(named, near).withColumn("hop", F.lit(1)))
 
 
 @query("node_value_breaks", f"SELECT node_type, 'currency' AS member, count(*) AS n FROM {LIVE} WHERE {P.format('currency')} IS NOT NULL AND NOT regexp_full_match({P.format('currency')}, '[A-Z]{{3}}') GROUP BY 1 UNION ALL SELECT node_type, 'url', count(*) FROM {LIVE} WHERE {P.format('url')} IS NOT NULL AND NOT regexp_matches({P.format('url')}, '^https?://\\S+$') GROUP BY 1 UNION ALL SELECT node_type, 'website', count(*) FROM {LIVE} WHERE {P.format('website')} IS NOT NULL AND NOT regexp_matches({P.format('website')}, '^https?://\\S+$') GROUP BY 1")

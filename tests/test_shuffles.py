@@ -58,3 +58,14 @@ def test_signals_and_scores_of_pairs_are_not_shuffled(spark):
     found, rows = shuffled(spark, lambda: rs.combined(rs.signals(make("new"), make("old"), edges)))
     assert len(found) == 120 * 120 and rows < 5_000
     assert {(r.new_id, r.old_id): r.shared_relationships for r in found if r.shared_relationships} == {("new1", "old2"): 0.5}
+
+
+def test_context_of_a_hub(spark):
+    others = [f"o{i:03d}" for i in range(200)]
+    near = [("hub", x) for x in [*others, "hub", "small"]] + [("small", x) for x in ("hub", "o001", "p", "q")]
+    named = [(f"c{i}", "hub") for i in range(200)] + [("c0", "small"), ("c1", "o005"), ("d", "small"), ("d", "none")]
+    want = {(c, o) for c, x in named for y, o in near if x == y and (c, o) not in named}
+    make = lambda: views.context(spark.createDataFrame(named, "capture_id string, id string"), spark.createDataFrame(near, "id string, other_id string"), 10)
+    found, rows = shuffled(spark, make)
+    assert len(found) == len(want) and {(r.capture_id, r.id) for r in found} == want
+    assert rows < 20_000  # each of 200 captures with each of 200 neighbours before
