@@ -153,6 +153,18 @@ def test_predicted_links_of_all_pairs(spark, tmp_path, random_graph):
     assert len(blocked) == len(want) and {(r.a, r.b): (r.n_common, r.score) for r in blocked} == want
 
 
+@pytest.mark.parametrize("hub", (4, 8))
+def test_predicted_links_of_hubs(spark, random_graph, hub):
+    """Pairs that share several hubs, hubs and other nodes, or only other nodes, each once."""
+    pairs = [*random_graph, *((OWNER, f"n{i:02d}", 1.0) for i in range(0, 30, 2)), (OWNER, "alone", 1.0)]
+    n = near(pairs)
+    common = {(a, b): n[a].keys() & n[b].keys() for a in n for b in n if a < b and b not in n[a]}
+    want = {k: (len(c), pytest.approx(0.6 * sum(1 / math.log(len(n[x])) for x in c if len(n[x]) > 1) + 0.4 * len(c) / math.sqrt(len(n[k[0]]) * len(n[k[1]])), abs=1e-6)) for k, c in common.items() if c}
+    assert any(sum(len(n[x]) >= 4 for x in c) > 1 for c in common.values())
+    got = g.link_scores(links(spark, pairs), block=8, hub=hub).collect()
+    assert len(got) == len(want) and {(r.a, r.b): (r.n_common, r.score) for r in got} == want
+
+
 def test_ranks_sum_to_one(spark):
     nodes = spark.createDataFrame([(x, False) for x in "abcd"], "id string, deleted boolean")
     edges = spark.createDataFrame([("a", "b", None, False), ("b", "c", 2.0, True), ("x", "a", 1.0, False)], "source_id string, target_id string, weight double, bidirectional boolean")
