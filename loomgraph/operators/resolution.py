@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scores as sc
 from loomgraph.operators.lookup import OWNER, prop, symmetric
-from loomgraph.runtime import write_stage
+from loomgraph.runtime import may_be_in, write_stage
 
 # Weights of the signals and the limits of the decision.
 WEIGHTS = {"exact_name": 0.95, "embedding_similarity": 0.80, "same_network": 0.15, "temporal_proximity": 0.10, "shared_relationships": 0.20, "llm_adjudication": 0.90}
@@ -73,8 +73,12 @@ def temporal_score(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), 0.0).when(days <= WINDOW_DAYS, 1 - days / WINDOW_DAYS).otherwise(0.0)
 
 
+def _ends(edges: DataFrame) -> DataFrame:
+    return symmetric(edges).select("node_id", "other_id").where("node_id is not null and other_id is not null and node_id <> other_id")
+
+
 def _near(edges: DataFrame) -> DataFrame:
-    return symmetric(edges).select("node_id", "other_id").where("node_id is not null and other_id is not null and node_id <> other_id").distinct()
+    return _ends(edges).distinct()
 
 
 def shared_relationships(pairs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -90,7 +94,8 @@ def _with_neighbours(new: DataFrame, old: DataFrame, edges: DataFrame) -> tuple[
     """The sides with the neighbours that both have at a key, as arrays (new_near, old_near), and the number of all neighbours
     of the new node (n_near)."""
     ids = new.select(F.col("new_id").alias("node_id")).unionByName(old.select(F.col("old_id").alias("node_id"))).distinct()
-    near = write_stage(_near(edges).join(ids, "node_id", "left_semi"), "resolution-near").df
+    # few nodes meet another, so few edges are moved at all; a semi join would be planned before the filter
+    near = write_stage(may_be_in(_ends(edges), "node_id", ids).join(ids, "node_id").distinct(), "resolution-near").df
     at = ["node_type", "key", "other_id"]
     of_new = new.select("new_id", "node_type", "key").join(near.withColumnRenamed("node_id", "new_id"), "new_id")
     of_old = old.select("old_id", "node_type", "key").join(near.withColumnRenamed("node_id", "old_id"), "old_id")
@@ -106,7 +111,8 @@ def signals(proposed: DataFrame, existing: DataFrame, edges: DataFrame, similar:
     if similar is None:
         # most pairs share no neighbour: for them one array or the other is empty or null
         share = F.when((F.size("new_near") > 0) & (F.size("old_near") > 0), F.size(F.array_intersect("new_near", "old_near")) / F.col("n_near")).otherwise(0.0)
-        met = _met(*_with_neighbours(*_sides(proposed, existing), edges))
+        new, old = (write_stage(s, "resolution-side").df for s in _sides(proposed, existing))
+        met = _met(*_with_neighbours(new, old, edges))
         return met.select("new_id", "old_id", _exact_name().alias("exact_name"), embedding_score(F.lit(0.0)).alias("embedding_similarity"), networks, days, share.alias("shared_relationships"))
     c = candidates(proposed, existing).join(similar.select("new_id", "old_id", "score"), ["new_id", "old_id"], "full").withColumn("exact_name", F.coalesce("exact_name", F.lit(0.0)))
     side = lambda df, s: df.select(F.col("id").alias(f"{s}_id"), F.coalesce("networks", F.array().cast("array<string>")).alias(f"{s}_networks"), F.col("created_at").alias(f"{s}_at"))

@@ -69,3 +69,18 @@ def test_context_of_a_hub(spark):
     found, rows = shuffled(spark, make)
     assert len(found) == len(want) and {(r.capture_id, r.id) for r in found} == want
     assert rows < 20_000  # each of 200 captures with each of 200 neighbours before
+
+
+def test_resolution_moves_no_edges_of_other_nodes(spark):
+    make = lambda s: spark.range(20).selectExpr(f"concat('{s}', id) as id", "'CONCEPT' as node_type", f"concat('the {s} ', id) as title", "cast(null as string) as properties", "array('A') as networks", "timestamp'2024-01-01' as created_at")
+    # every node of a side twice with m and once with a node of its own, in either direction
+    own = [(f"{s}{i}", x) for s in ("new", "old") for i in range(20) for x in ("m", f"x{s}{i}")] + [("m", f"{s}{i}") for s in ("new", "old") for i in range(20)]
+    others = spark.range(30_000).selectExpr("concat('a', id) as source_id", "concat('b', id) as target_id")
+    edges = spark.createDataFrame(own, "source_id string, target_id string").union(others)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the ids of the nodes were many
+    try:
+        found, rows = shuffled(spark, lambda: rs.signals(make("new"), make("old"), edges))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r.new_id, r.old_id): r.shared_relationships for r in found} == {(f"new{i}", f"old{j}"): 0.5 for i in range(20) for j in range(20)}
+    assert rows < 5_000  # 120,000 before: both ends of every edge, twice
