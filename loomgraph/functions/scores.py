@@ -33,6 +33,8 @@ TIE_SHARES = {
 DEFAULT_TIE_SHARE = 0.3
 #: An ISO date, or date and time with or without an offset.
 ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-]\d{2}:\d{2})?)?$"
+#: All characters of the category Zs.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def lookup(values: Mapping[str, float], key: Column, default: float | None = None) -> Column:
@@ -111,9 +113,14 @@ def tightest_window(days_left: Column, windows: tuple[int, ...] = (1, 3, 7)) ->
     return F.when(days_left >= 0, out)
 
 
+def strip_spaces(text: Column) -> Column:
+    """Without the space characters (category Zs) at either end; F.trim knows only U+0020."""
+    return F.btrim(text, F.lit(SPACES))
+
+
 def name_form(name: Column) -> Column:
     """What names are compared by: struct(text, words)."""
-    text = F.trim(F.lower(name))
+    text = strip_spaces(F.lower(name))
     return F.struct(text.alias("text"), F.split(text, r"\s+").alias("words"))
 
 

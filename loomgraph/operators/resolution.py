@@ -26,7 +26,7 @@ def aliases() -> Column:
 
 
 def names_of(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("names", F.array_distinct(F.filter(F.concat(F.array("title"), aliases()), lambda x: F.trim(x) != "")))
+    return nodes.withColumn("names", F.array_distinct(F.filter(F.concat(F.array("title"), aliases()), lambda x: sc.strip_spaces(x) != "")))
 
 
 def _sides(proposed: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:

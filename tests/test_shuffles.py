@@ -84,3 +84,12 @@ def test_resolution_moves_no_edges_of_other_nodes(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {(r.new_id, r.old_id): r.shared_relationships for r in found} == {(f"new{i}", f"old{j}"): 0.5 for i in range(20) for j in range(20)}
     assert rows < 5_000  # 120,000 before: both ends of every edge, twice
+
+
+def test_scores_of_names_with_other_spaces(spark):
+    rows = lambda **titles: spark.createDataFrame([(k, "CONCEPT", v, None, ["A"], None) for k, v in titles.items()], "id string, node_type string, title string, properties string, networks array<string>, created_at timestamp")
+    edges = spark.createDataFrame([], "source_id string, target_id string")
+    old = rows(o1="solid effect", o2="Solid principle\u00a0", o3="\u3000")
+    found = rs.combined(rs.signals(rows(n1="\u2009Solid effect", n2="solid Principle"), old, edges)).collect()
+    # each title is that of one old node but for its spaces; the other two share one word of three
+    assert {(r.new_id, r.old_id): round(r.exact_name, 6) for r in found} == {("n1", "o1"): 1.0, ("n1", "o2"): 0.2, ("n2", "o1"): 0.2, ("n2", "o2"): 1.0}
