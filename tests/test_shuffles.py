@@ -1,5 +1,10 @@
 """Pairs of a hub are not shuffled: values against plain Python or SQL, and the rows that the stages write for others."""
 
+import math
+
+import pytest
+
+from loomgraph.operators import graph as g
 from loomgraph.operators import resolution as rs
 from loomgraph.operators import views
 
@@ -93,3 +98,21 @@ def test_scores_of_names_with_other_spaces(spark):
     found = rs.combined(rs.signals(rows(n1="\u2009Solid effect", n2="solid Principle"), old, edges)).collect()
     # each title is that of one old node but for its spaces; the other two share one word of three
     assert {(r.new_id, r.old_id): round(r.exact_name, 6) for r in found} == {("n1", "o1"): 1.0, ("n1", "o2"): 0.2, ("n2", "o1"): 0.2, ("n2", "o2"): 1.0}
+
+
+@pytest.mark.parametrize("hub", (10, 1000))
+def test_pairs_of_predicted_links_are_not_shuffled(spark, hub):
+    """Nor are the neighbours of a hub copied for each block: two hubs, one link between leaves."""
+    leaves = [f"l{i:03d}" for i in range(300)]
+    links = spark.createDataFrame([("hub", x, 1.0) for x in leaves] + [("all", x, 1.0) for x in leaves[::2]] + [("l000", "l001", 1.0)], "a string, b string, weight double").selectExpr("least(a, b) as a", "greatest(a, b) as b", "weight")
+    found, rows = shuffled(spark, lambda: g.link_scores(links, block=20, hub=hub))
+    near = {}
+    for a, b, _ in links.collect():
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    common = {(a, b): near[a] & near[b] for a in near for b in near if a < b and b not in near[a] and near[a] & near[b]}
+    score = {k: 0.6 * sum(1 / math.log(len(near[x])) for x in c) + 0.4 * len(c) / math.sqrt(len(near[k[0]]) * len(near[k[1]])) for k, c in common.items()}
+    assert len(found) == len(common) > 40_000
+    assert {(r.a, r.b): r.n_common for r in found} == {k: len(c) for k, c in common.items()}
+    assert all(r.score == pytest.approx(score[r.a, r.b], abs=1e-6) for r in found)
+    assert rows < 6_000  # all pairs, or each leaf for each of 15 blocks, before
